@@ -172,3 +172,17 @@ def pass_schema(df: DataFrame, keep: list[str], more: str) -> str:
 
 def rank_hash(*cols) -> Column:
     return F.xxhash64(*cols)
+
+
+def materialize(df: DataFrame, partition_sort: str | None = None) -> DataFrame:
+    """The rows, written as Parquet to the shared checkpoint folder and read again: lineage ends here, and
+    a lost executor costs no more than what reads them next. The files go when the session's JVM ends."""
+    import uuid
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    at = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(at)

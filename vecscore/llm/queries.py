@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import sha256_hex, table
 from .decontaminate import decontaminate
+from .minhash import near_duplicates
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +17,15 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", sha256_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate}
+    return {
+        "op1_decontaminate": op1_decontaminate,
+        "op9_near_duplicates": op9_near_duplicates,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
