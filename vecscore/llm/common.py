@@ -174,7 +174,15 @@ def rank_hash(*cols) -> Column:
     return F.xxhash64(*cols)
 
 
-def materialize(df: DataFrame, partition_sort: str | None = None) -> DataFrame:
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """The rows, written as Parquet to the shared checkpoint folder and read again: lineage ends here, and
     a lost executor costs no more than what reads them next. The files go when the session's JVM ends."""
     import uuid
@@ -183,6 +191,7 @@ def materialize(df: DataFrame, partition_sort: str | None = None) -> DataFrame:
     ensure_checkpoint_dir(spark)
     at = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    release(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)
