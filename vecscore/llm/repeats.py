@@ -63,10 +63,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(d: np.ndarray, offs: np.ndarray, length: int):
-    """(text, first window, last window, bucket) of every run; windows are counted from the text's start."""
+    """(text, first window, last window, minimum's place, bucket) of every run, counted from the text's start."""
     empty = np.zeros(0, np.int64)
     if len(d) < length:
-        return empty, empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, empty, empty, np.zeros(0, np.uint64)
     h = gram_hashes(d)
     low = (h >> np.uint64(_POS) << np.uint64(_POS)) | np.arange(len(h), dtype=np.uint64)
     m = (sliding_min(low, length - GRAM + 1) & np.uint64((1 << _POS) - 1)).astype(np.int64)
@@ -78,7 +78,8 @@ def runs(d: np.ndarray, offs: np.ndarray, length: int):
     new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
     s = np.flatnonzero(new)
     e = np.append(s[1:], len(p)) - 1
-    return text[s], p[s] - offs[text[s]], p[e] - offs[text[s]], h[at[s]]
+    from_ = offs[text[s]]
+    return text[s], p[s] - from_, p[e] - from_, at[s] - from_, h[at[s]]
 
 
 def _find_runs(length: int):
@@ -87,7 +88,7 @@ def _find_runs(length: int):
             data, offs = utf8(text_column(batch, "text"))
             n = len(offs) - 1
             many = np.zeros(n, np.int64)
-            out = [[], [], []]
+            out = [[], [], [], []]
             for i, j in chunks(offs, PIECE):
                 o = offs[i : j + 1]
                 if o[-1] - o[0] <= 2 * PIECE:
@@ -97,19 +98,19 @@ def _find_runs(length: int):
                     for a in range(int(o[0]), int(o[-1]) - length + 1, PIECE):
                         z = min(int(o[-1]), a + PIECE + length - 1)
                         got.append((a - int(o[0]), *runs(data[a:z], np.array([0, z - a]), length)))
-                for shift, text, p, q, h in got:
+                for shift, text, p, q, m, h in got:
                     many[i:j] += np.bincount(text, minlength=j - i)
-                    for x, y in zip(out, (p + shift, q + shift, h.view(np.int64)), strict=True):
+                    for x, y in zip(out, (p + shift, q + shift, m + shift, h.view(np.int64)), strict=True):
                         x.append(y)
-            p, q, h = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+            p, q, m, h = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
             at = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
-            cols = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (h, p.astype(np.int32), (q - p + 1).astype(np.int32))]
+            cols = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (h, p.astype(np.int32), (q - p + 1).astype(np.int32), (m - p).astype(np.int32))]
             raw = data.tobytes() if n else b""
             o = offs.tolist()
             keys = [hashlib.blake2b(raw[o[r] : o[r + 1]], digest_size=16).digest() for r in range(n)]
             shas = [hashlib.sha256(raw[o[r] : o[r + 1]]).hexdigest() for r in range(n)]
             ids = batch.column(batch.schema.get_field_index("id"))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offs)), pa.array(keys, pa.binary()), pa.array(shas, pa.string()), *cols], ["id", "n_bytes", "key", "sha", "h", "p", "len"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offs)), pa.array(keys, pa.binary()), pa.array(shas, pa.string()), *cols], ["id", "n_bytes", "key", "sha", "h", "p", "len", "ahead"])
 
     return run
 
@@ -137,20 +138,24 @@ def _segments(length: int, hot: int):
                 seen: set[bytes] = set()
                 for x in hits:
                     p, m = x["p"], x["len"]
-                    step = PART if x["n"] > hot else m
-                    for a in range(p - p % step if step == PART else p, p + m, step):
-                        lo, hi = max(a, p), min(a + step, p + m)
+                    lo, end = p, p + m
+                    while lo < end:
+                        # parts end where the distance to the minimum is a multiple of PART: the same in every context
+                        hi = min(end, lo + (p + x["ahead"] - lo) % PART + 1) if x["n"] > hot else end
                         seg = raw[o[r] + lo : o[r] + hi + length - 1]
                         sid = hashlib.blake2b(seg, digest_size=16).digest()
                         h = x["h"]
-                        if x["n"] > hot:  # all windows of the part have these bytes
-                            core = raw[o[r] + hi - 1 : o[r] + lo + length]
-                            h = int.from_bytes(hashlib.blake2b(core, digest_size=8, person=b"part").digest(), "little", signed=True)
+                        if x["n"] > hot:  # bytes that all windows of the part have in any context, and which part it is
+                            m = p + x["ahead"]
+                            near = (m - lo) // PART * PART
+                            core = raw[o[r] + m - near : o[r] + m - near - PART + 1 + length]
+                            h = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=near.to_bytes(2, "little")).digest(), "little", signed=True)
                         fresh = sid not in seen
                         seen.add(sid)
                         size += len(seg) if fresh else 0
                         for col_out, v in zip(out, (key, lo, h, sid, x["n"] > hot, copies, seg if fresh else None), strict=True):
                             col_out.append(v)
+                        lo = hi
                 if size > 16 << 20:
                     yield _segment_batch(out)
                     out, size = [[] for _ in range(7)], 0
@@ -255,11 +260,11 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if length % 8 or length < GRAM + 8:
         raise ValueError("length has to be a multiple of 8, of 56 at least")
     src = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    base = materialize(src.mapInArrow(_find_runs(length), "id bigint, n_bytes bigint, key binary, sha string, h array<bigint>, p array<int>, len array<int>"))
-    classes = base.groupBy("key").agg(F.count("*").alias("copies"), F.first("h").alias("h"), F.first("p").alias("p"), F.first("len").alias("len"))
-    each = classes.where("size(h) > 0").select("key", "copies", F.explode(F.arrays_zip("h", "p", "len")).alias("x")).select("key", "copies", "x.h", "x.p", "x.len")
+    base = materialize(src.mapInArrow(_find_runs(length), "id bigint, n_bytes bigint, key binary, sha string, h array<bigint>, p array<int>, len array<int>, ahead array<int>"))
+    classes = base.groupBy("key").agg(F.count("*").alias("copies"), F.first("h").alias("h"), F.first("p").alias("p"), F.first("len").alias("len"), F.first("ahead").alias("ahead"))
+    each = classes.where("size(h) > 0").select("key", "copies", F.explode(F.arrays_zip("h", "p", "len", "ahead")).alias("x")).select("key", "copies", "x.*")
     often = each.groupBy("h").agg(F.count("*").alias("n"), F.sum("copies").alias("all")).where("n > 1 or all > 1")
-    hits = each.join(often.where("n > 1").select("h", "n"), "h").groupBy("key", "copies").agg(F.collect_list(F.struct("p", "len", "h", "n")).alias("hits"))
+    hits = each.join(often.where("n > 1").select("h", "n"), "h").groupBy("key", "copies").agg(F.collect_list(F.struct("p", "len", "ahead", "h", "n")).alias("hits"))
     hits = materialize(hits)
     texts = src.select("text").mapInArrow(_with_key, "key binary, text string").groupBy("key").agg(F.first("text").alias("text"))
     hit_texts = materialize(hits.join(texts, "key"))
