@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .common import sha256_hex, table
 from .decontaminate import decontaminate
 from .minhash import near_duplicates
+from .quality import n_dup_lines, n_repeat_words, n_symbols, quality, word_chars, words
 from .repeats import repeated_spans
+from .sharding import shard_rows
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,19 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_rows(table(spark, sf_dir, "documents"), payload=["doc_id"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    out = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = out.select("doc_id", F.size(words(t)).cast("bigint").alias("n_words"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"), n_dup_lines(t).alias("n_dup_lines"), n_repeat_words(t).alias("n_repeat_words"), "kept")
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (F.col("kept") & ~failed).alias("kept"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -32,6 +47,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_repeats": op2_repeats,
+        "op7_sharding": op7_sharding,
+        "op8_quality": op8_quality,
         "op9_near_duplicates": op9_near_duplicates,
     }
 
