@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import sha256_hex, table
 from .decontaminate import decontaminate
 from .minhash import near_duplicates
+from .pii import KINDS, personal_data, span_list
 from .quality import n_dup_lines, n_repeat_words, n_symbols, quality, word_chars, words
 from .repeats import repeated_spans
 from .sharding import shard_rows
@@ -26,6 +27,15 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal_data(table(spark, sf_dir, "documents"))
+    of_kind = lambda k: lambda x: x["kind"] == k
+    counts = [F.size(F.filter("base", of_kind(k))).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    place = lambda x: F.array_position(F.array(*map(F.lit, [*KINDS, "key"])), x["kind"])
+    order = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(place(x).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    return out.select("doc_id", *counts, sha256_hex(span_list(F.col("base"))).alias("base_sha256"), span_list(order).alias("spans"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_rows(table(spark, sf_dir, "documents"), payload=["doc_id"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -47,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_repeats": op2_repeats,
+        "op3_personal_data": op3_personal_data,
         "op7_sharding": op7_sharding,
         "op8_quality": op8_quality,
         "op9_near_duplicates": op9_near_duplicates,
