@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
 from .common import sha256_hex, table
 from .decontaminate import decontaminate
+from .language import crc_part, identify
 from .minhash import near_duplicates
 from .pii import KINDS, personal_data, span_list
 from .quality import n_dup_lines, n_repeat_words, n_symbols, quality, word_chars, words
@@ -36,6 +38,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, sha256_hex(span_list(F.col("base"))).alias("base_sha256"), span_list(order).alias("spans"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_rows(table(spark, sf_dir, "documents"), payload=["doc_id"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -53,14 +59,24 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(crc_part(F.col("doc_id"), 5) == 0, F.lit(True))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    out = toxicity.score(docs.select("doc_id", "text"), model, ["doc_id"])
+    return out.select("doc_id", F.coalesce(crc_part(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_repeats": op2_repeats,
         "op3_personal_data": op3_personal_data,
+        "op4_language": op4_language,
         "op7_sharding": op7_sharding,
         "op8_quality": op8_quality,
         "op9_near_duplicates": op9_near_duplicates,
+        "op10_toxicity": op10_toxicity,
     }
 
 
