@@ -129,13 +129,16 @@ def word_spans(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple
     return s, e, np.searchsorted(s, offs)
 
 
-def span_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[s:e] for every span."""
+def span_hashes(data: np.ndarray, *spans: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """64-bit hashes of data[s:e] for every span of each list (s, e)."""
     p, inv = powers(len(data) + 1)
     acc = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:-1], out=acc[1:])
-    h = (acc[e] - acc[s]) * inv[s]
-    return mix(h + (e - s).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return [mix((acc[e] - acc[s]) * inv[s] + (e - s).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) for s, e in spans]
+
+
+def span_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    return span_hashes(data, (s, e))[0]
 
 
 _C = [pow(0xA0761D6478BD642F | 1, i + 1, 1 << 64) for i in range(4096)]
@@ -190,7 +193,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     at = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     release(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
