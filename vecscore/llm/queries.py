@@ -11,7 +11,9 @@ from . import toxicity
 from .common import sha256_hex, table
 from .decontaminate import decontaminate
 from .language import crc_part, identify
+from .lines import dedup_lines
 from .minhash import near_duplicates
+from .pieces import encode
 from .pii import KINDS, personal_data, span_list
 from .quality import n_dup_lines, n_repeat_words, n_symbols, quality, word_chars, words
 from .repeats import repeated_spans
@@ -42,6 +44,15 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", sha256_hex(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), keep=["doc_id"], digest=True)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_rows(table(spark, sf_dir, "documents"), payload=["doc_id"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -73,6 +84,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_repeats": op2_repeats,
         "op3_personal_data": op3_personal_data,
         "op4_language": op4_language,
+        "op5_lines": op5_lines,
+        "op6_pieces": op6_pieces,
         "op7_sharding": op7_sharding,
         "op8_quality": op8_quality,
         "op9_near_duplicates": op9_near_duplicates,
