@@ -8,12 +8,13 @@ positions. Shifts of one table lie side by side, so all K coordinates of a shing
 Candidates. Equal sets are one class before anything is joined. `bands` bands of `rows` coordinates
 miss a pair at the threshold itself with probability (1 - 0.75**4)**48 = 1.2e-8, and less above it.
 
-Links. A band's bucket can hold a large group of near copies, so its pairs are not listed: every member
-is compared with the bucket's smallest id, then (where the bucket still spans several components)
-with its largest id of another component. Only buckets that still span several components have the
-members outside their main component compared with those of the others. A pair inside one component
-can't change the result, so no link between components is lost. Comparisons are of the full sets, made
-from the texts: the hub's text is met by its partners' in salted blocks, streamed in sort order.
+Links. A band's bucket can hold a large group of near copies, so its pairs are not listed. First every
+member is compared with the bucket's smallest id, and components are formed. A pair inside one component
+can't change the result, so only buckets that still span several components matter: they are joined to
+groups by their largest component, and the members outside it (the minor ones) are compared with all
+members of the group. A block of minor members is an inverted index of their shingles; the group's
+members stream past it once, so a group costs its members times its blocks, not its pairs, and both sides
+are salted. All comparisons are of full sets made from the whole texts: no link between components is lost.
 
 Odd cases: null or blank texts have empty sets, are linked with nothing and kept. Rows that repeat an id
 with the same text get the same class. Null ids get a null component and are kept.
@@ -37,6 +38,7 @@ BANDS, ROWS = 48, 4
 D_BITS = 20
 SEED = 20_26
 PER_SALT = 256
+MINORS, PASSING = 300, 4000
 
 
 @functools.cache
@@ -138,6 +140,71 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     return rows.mapInArrow(_compare(n, percent), "a bigint, b bigint")
 
 
+def _index(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles, and for each the range of the owners that have it."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(h) for h in sets])
+    k = np.argsort(flat, kind="stable")
+    keys, first = np.unique(flat[k], return_index=True)
+    return keys, np.append(first, len(flat)), owner[k]
+
+
+def _compare_blocks(n: int, percent: int):
+    """Rows sorted by group, block, salt, kind: a block's minor members (kind 0), then the members that pass by."""
+
+    def run(batches):
+        at, sets, ids, comps, made = None, [], [], [], None
+        told: set[tuple] = set()
+        for batch in batches:
+            data, offs = utf8(text_column(batch, "text"))
+            cols = [batch.column(i).to_pylist() for i in range(6)]
+            a, b, r = [], [], 0
+            for i, j in chunks(offs):
+                for h in shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n):
+                    where, kind, key, comp = tuple(c[r] for c in cols[:3]), cols[3][r], cols[4][r], cols[5][r]
+                    r += 1
+                    if where != at:
+                        at, sets, ids, comps, made, told = where, [], [], [], None, set()
+                    if kind == 0:
+                        sets.append(h)
+                        ids.append(key)
+                        comps.append(comp)
+                        continue
+                    if not sets:
+                        continue
+                    made = made or _index(sets)
+                    keys, first, owner = made
+                    k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    k = k[keys[k] == h]
+                    many = first[k + 1] - first[k]
+                    x = np.repeat(first[k] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                    both = np.bincount(owner[x], minlength=len(sets))
+                    for o in np.flatnonzero((100 + percent) * both >= percent * len(h)).tolist():
+                        if 100 * int(both[o]) >= percent * (len(h) + len(sets[o]) - int(both[o])) and comps[o] != comp and (ids[o], comp) not in told:
+                            told.add((ids[o], comp))
+                            a.append(key)
+                            b.append(ids[o])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _across(apart: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between components of rows (key, id, comp): for a minor member at least one with each component it has links with."""
+    sizes = apart.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+    group = materialize(apart.join(main, "key").select("main", "id", "comp").distinct())
+    dealt = group.groupBy("main").agg(F.ceil(F.count_if(F.col("comp") != F.col("main")) / MINORS).cast("int").alias("blocks"), F.ceil(F.count("*") / PASSING).cast("int").alias("salts"))
+    rows = group.join(dealt, "main")
+    up_to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    minor = rows.where("comp <> main").select("main", F.pmod(F.hash("id"), F.col("blocks")).alias("block"), up_to("salts").alias("salt"), F.lit(0).alias("kind"), "id", "comp")
+    passing = rows.select("main", up_to("blocks").alias("block"), F.pmod(F.hash("id"), F.col("salts")).alias("salt"), F.lit(1).alias("kind"), "id", "comp")
+    full = minor.unionAll(passing).join(texts, "id").select("main", "block", "salt", "kind", "id", "comp", "text")
+    parts = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = full.repartition(parts, "main", "block", "salt").sortWithinPartitions("main", "block", "salt", "kind")
+    return full.mapInArrow(_compare_blocks(n, percent), "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each of docs: doc_id, n_shingles, component_id, kept, n_links (classes with links only:
@@ -151,25 +218,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = members.select(F.col("rep").alias("id")).distinct()
     texts = materialize(src.join(nodes, "id").dropDuplicates(["id"]))
 
-    tried = members.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    tried = materialize(tried)
-    links = materialize(_verify(tried, texts, shingle, percent))
-    for last in (False, True):
-        label = components(links)
-        seen = members.select("key", F.col("rep").alias("id")).join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        split = seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        apart = materialize(seen.join(split.select("key"), "key", "left_semi"))
-        sizes = apart.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max("id").alias("top"))
-        main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp", "top")).alias("m")).select("key", F.col("m.comp").alias("main"), F.col("m.top").alias("top"))
-        minor = apart.join(main, "key").where("comp <> main")
-        if not last:  # each with one of the main component
-            pairs = minor.select(F.col("id").alias("a"), F.col("top").alias("b"))
-        else:  # each with all of other components
-            other = apart.select("key", F.col("id").alias("y"), F.col("comp").alias("comp_y"))
-            pairs = minor.join(other, "key").where("comp <> comp_y and (comp_y = main or id < y)").select(F.col("y").alias("a"), F.col("id").alias("b"))
-        pairs = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
-        links = materialize(links.unionAll(_verify(pairs, texts, shingle, percent)))
-        tried = materialize(tried.unionAll(pairs))
+    stars = members.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+    links = materialize(_verify(stars, texts, shingle, percent))
+    label = components(links)
+    seen = members.select("key", F.col("rep").alias("id")).join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    split = seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    apart = materialize(seen.join(split.select("key"), "key", "left_semi"))
+    links = materialize(links.unionAll(_across(apart, texts, shingle, percent)))
     label = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     of = classes.select("set_key", F.col("rep").alias("id")).join(label, "id", "left").join(degree, "id", "left")
