@@ -77,7 +77,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B**i and B**-i modulo 2**64 for i < n."""
     have = _POW.get("b")
     if have is None or len(have) < n:
-        m = max(n, CHUNK_BYTES + 1)
+        m = max(n, 1 << 16)
         for key, b in (("b", _B), ("i", _BINV)):
             p = np.full(m, b, np.uint64)
             p[0] = 1

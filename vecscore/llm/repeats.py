@@ -1,7 +1,7 @@
 """Suffix-array dedup: every byte that a 200-byte string covers which starts elsewhere too is cut.
 
 Texts are judged as UTF-8 bytes; matches never cross texts. Suffixes are dealt so that any two that share
-their first `length` bytes meet in one block: a window's bucket is the hash of its minimal 48-byte gram
+their first `length` bytes meet in one block: a window's bucket is the hash of its minimal 32-byte gram
 (leftmost among ties), which depends on the window's bytes only. Consecutive windows with one minimum form
 a run, and a run's bytes go to its bucket as one segment.
 
@@ -34,24 +34,22 @@ from .common import chunks, materialize, mix, text_column, utf8
 from .suffix_array import adjacent_common, big_endian_words, two_stage
 
 LENGTH = 200
-GRAM = 48
+GRAM = 32
 HOT = 4096
 PART = 16
-PIECE = 2 << 20
-BLOCK = 1 << 20
+PIECE = 1 << 19
+BLOCK = 1 << 19
 _B = 0x9E3779B97F4A7C15
 _POS = 24
 
 
 def gram_hashes(d: np.ndarray) -> np.ndarray:
-    """Hash of the 48 bytes from each position, made by doubling."""
-    h, made, n = d.astype(np.uint64) + np.uint64(1), {}, 1
-    made[1] = h
-    while n < 32:
+    """Hash of the GRAM (a power of 2) bytes from each position, made by doubling."""
+    h, n = d.astype(np.uint64) + np.uint64(1), 1
+    while n < GRAM:
         h = h[:-n] * np.uint64(pow(_B, n, 1 << 64)) + h[n:]
         n *= 2
-        made[n] = h
-    return mix(made[32][:-16] * np.uint64(pow(_B, 16, 1 << 64)) + made[16][32:])
+    return mix(h)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -105,10 +103,9 @@ def _find_runs(length: int):
             p, q, m, h = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
             at = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
             cols = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (h, p.astype(np.int32), (q - p + 1).astype(np.int32), (m - p).astype(np.int32))]
-            raw = data.tobytes() if n else b""
             o = offs.tolist()
-            keys = [hashlib.blake2b(raw[o[r] : o[r + 1]], digest_size=16).digest() for r in range(n)]
-            shas = [hashlib.sha256(raw[o[r] : o[r + 1]]).hexdigest() for r in range(n)]
+            keys = [hashlib.blake2b(data[o[r] : o[r + 1]], digest_size=16).digest() for r in range(n)]
+            shas = [hashlib.sha256(data[o[r] : o[r + 1]]).hexdigest() for r in range(n)]
             ids = batch.column(batch.schema.get_field_index("id"))
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offs)), pa.array(keys, pa.binary()), pa.array(shas, pa.string()), *cols], ["id", "n_bytes", "key", "sha", "h", "p", "len", "ahead"])
 
@@ -119,8 +116,8 @@ def _with_key(batches):
     for batch in batches:
         text = text_column(batch, "text")
         data, offs = utf8(text)
-        raw, o = data.tobytes(), offs.tolist()
-        keys = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(o, o[1:], strict=False)]
+        o = offs.tolist()
+        keys = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(o, o[1:], strict=False)]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), text.cast(pa.string())], ["key", "text"])
 
 
@@ -131,32 +128,33 @@ def _segments(length: int, hot: int):
         for batch in batches:
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             data, offs = utf8(text_column(batch, "text"))
-            raw, o = data.tobytes(), offs.tolist()
+            o = offs.tolist()
             out: list[list] = [[] for _ in range(7)]
             size = 0
-            for r, (key, copies, hits) in enumerate(zip(col["key"].to_pylist(), col["copies"].to_pylist(), col["hits"].to_pylist(), strict=True)):
+            cut = col["hits"].offsets.to_numpy()
+            fields = [col["hits"].values.field(n).to_numpy() for n in ("p", "len", "ahead", "h", "n")]
+            for r, (key, copies) in enumerate(zip(col["key"].to_pylist(), col["copies"].to_pylist(), strict=True)):
                 seen: set[bytes] = set()
-                for x in hits:
-                    p, m = x["p"], x["len"]
+                raw = data[o[r] : o[r + 1]].tobytes()
+                for p, m, ahead, bucket, n in zip(*(f[cut[r] : cut[r + 1]].tolist() for f in fields), strict=True):
                     lo, end = p, p + m
                     while lo < end:
                         # parts end where the distance to the minimum is a multiple of PART: the same in every context
-                        hi = min(end, lo + (p + x["ahead"] - lo) % PART + 1) if x["n"] > hot else end
-                        seg = raw[o[r] + lo : o[r] + hi + length - 1]
+                        hi = min(end, lo + (p + ahead - lo) % PART + 1) if n > hot else end
+                        seg = raw[lo : hi + length - 1]
                         sid = hashlib.blake2b(seg, digest_size=16).digest()
-                        h = x["h"]
-                        if x["n"] > hot:  # bytes that all windows of the part have in any context, and which part it is
-                            m = p + x["ahead"]
-                            near = (m - lo) // PART * PART
-                            core = raw[o[r] + m - near : o[r] + m - near - PART + 1 + length]
+                        h = bucket
+                        if n > hot:  # bytes that all windows of the part have in any context, and which part it is
+                            near = (p + ahead - lo) // PART * PART
+                            core = raw[p + ahead - near : p + ahead - near - PART + 1 + length]
                             h = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=near.to_bytes(2, "little")).digest(), "little", signed=True)
                         fresh = sid not in seen
                         seen.add(sid)
                         size += len(seg) if fresh else 0
-                        for col_out, v in zip(out, (key, lo, h, sid, x["n"] > hot, copies, seg if fresh else None), strict=True):
+                        for col_out, v in zip(out, (key, lo, h, sid, n > hot, copies, seg if fresh else None), strict=True):
                             col_out.append(v)
                         lo = hi
-                if size > 16 << 20:
+                if size > 4 << 20:
                     yield _segment_batch(out)
                     out, size = [[] for _ in range(7)], 0
             yield _segment_batch(out)
@@ -261,12 +259,12 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError("length has to be a multiple of 8, of 56 at least")
     src = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     base = materialize(src.mapInArrow(_find_runs(length), "id bigint, n_bytes bigint, key binary, sha string, h array<bigint>, p array<int>, len array<int>, ahead array<int>"))
-    classes = base.groupBy("key").agg(F.count("*").alias("copies"), F.first("h").alias("h"), F.first("p").alias("p"), F.first("len").alias("len"), F.first("ahead").alias("ahead"))
-    each = classes.where("size(h) > 0").select("key", "copies", F.explode(F.arrays_zip("h", "p", "len", "ahead")).alias("x")).select("key", "copies", "x.*")
-    often = each.groupBy("h").agg(F.count("*").alias("n"), F.sum("copies").alias("all")).where("n > 1 or all > 1")
-    hits = each.join(often.where("n > 1").select("h", "n"), "h").groupBy("key", "copies").agg(F.collect_list(F.struct("p", "len", "ahead", "h", "n")).alias("hits"))
+    classes = base.groupBy("key").agg(F.first("h").alias("h"), F.first("p").alias("p"), F.first("len").alias("len"), F.first("ahead").alias("ahead"))
+    each = classes.where("size(h) > 0").select("key", F.explode(F.arrays_zip("h", "p", "len", "ahead")).alias("x")).select("key", "x.*")
+    often = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    hits = each.join(often, "h").groupBy("key").agg(F.collect_list(F.struct("p", "len", "ahead", "h", "n")).alias("hits"))
     hits = materialize(hits)
-    texts = src.select("text").mapInArrow(_with_key, "key binary, text string").groupBy("key").agg(F.first("text").alias("text"))
+    texts = src.select("text").mapInArrow(_with_key, "key binary, text string").groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     hit_texts = materialize(hits.join(texts, "key"))
     segments = materialize(hit_texts.mapInArrow(_segments(length, hot), _SEG_SCHEMA))
 
