@@ -1,6 +1,7 @@
-"""NumPy kernels on Arrow batches: exact integer distances by matrix products.
+"""NumPy kernels on Arrow batches.
 
-Values are integers within +-10000 and vectors short, so every sum is exact in 64-bit floats.
+Integer vectors: values are within +-10000 and vectors short, so distances by matrix products are exact in
+64-bit floats. Float vectors: squared differences are added in the order of the dimensions.
 """
 
 from __future__ import annotations
@@ -24,26 +25,34 @@ def distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q, q)[:, None] + np.einsum("ij,ij->i", r, r)[None, :] - 2 * (q @ r.T)
 
 
+def float_distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(q), len(r)))
+    for j in range(q.shape[1]):
+        out += np.square(q[:, j, None] - r[None, :, j])
+    return out
+
+
 class TopK:
     """The k nearest of all rows shown, for each query, by (distance, id)."""
 
-    def __init__(self, qid: np.ndarray, q: np.ndarray, k: int, not_self: bool):
+    def __init__(self, qid: np.ndarray, q: np.ndarray, k: int, not_self: bool, floats: bool = False):
         self.qid, self.q, self.k, self.not_self = qid, q, k, not_self
-        self.rows = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.between, self.kind = (float_distances, np.float64) if floats else (distances, np.int64)
+        self.rows = [np.zeros(0, np.int64), np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         self.worst = np.full(len(qid), np.inf)
 
     def show(self, ids: np.ndarray, r: np.ndarray, fraud: np.ndarray) -> None:
         for i in range(0, len(ids), TILE):
             part = slice(i, i + TILE)
             for j in range(0, len(self.qid), 1024):
-                d = distances(self.q[j : j + 1024], r[part])
+                d = self.between(self.q[j : j + 1024], r[part])
                 if self.not_self:
                     d[self.qid[j : j + 1024, None] == ids[None, part]] = np.inf
                 most = self.worst[j : j + 1024]
                 if d.shape[1] > self.k:
                     most = np.minimum(most, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
                 a, b = np.nonzero((d <= most[:, None]) & np.isfinite(d))
-                new = (a + j, d[a, b].astype(np.int64), ids[part][b], fraud[part][b])
+                new = (a + j, d[a, b].astype(self.kind), ids[part][b], fraud[part][b])
                 self.rows = [np.concatenate(x) for x in zip(self.rows, new, strict=True)]
             self._keep()
 

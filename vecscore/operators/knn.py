@@ -18,9 +18,9 @@ from .kernel import TopK, matrix
 BLOCK_ROWS = 32_768
 
 
-def _nearest(bc, k: int, not_self: bool):
+def _nearest(bc, k: int, not_self: bool, floats: bool):
     def run(batches):
-        top = TopK(*bc.value, k, not_self)
+        top = TopK(*bc.value, k, not_self, floats)
         for b in batches:
             if b.num_rows:
                 top.show(b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1)), b.column(2).to_numpy(zero_copy_only=False))
@@ -34,14 +34,16 @@ def rank_within(rows: DataFrame, by: str, k: int, order: tuple[str, ...] = ("dis
     return rows.withColumn(name, rk).where(F.col(name) <= k)
 
 
-def exact_knn(queries: DataFrame, refs: DataFrame, k: int = 5, not_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(qid, rk, ref_id, dist, fraud): the k nearest rows of refs (ref_id, v, fraud) for each of queries (qid, v)."""
+def exact_knn(queries: DataFrame, refs: DataFrame, k: int = 5, not_self: bool = False, block_rows: int = BLOCK_ROWS, floats: bool = False) -> DataFrame:
+    """(qid, rk, ref_id, dist, fraud): the k nearest rows of refs (ref_id, v, fraud) for each of queries (qid, v).
+
+    v are quantized vectors and distances 64-bit integers; with floats, any numbers and 64-bit floats."""
     sc = refs.sparkSession.sparkContext
     parts, block = [], []
 
     def search(more: bool) -> None:
         bc = sc.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)))
-        got = refs.select("ref_id", "v", "fraud").mapInArrow(_nearest(bc, k, not_self), "qid bigint, dist bigint, ref_id bigint, fraud int")
+        got = refs.select("ref_id", "v", "fraud").mapInArrow(_nearest(bc, k, not_self, floats), f"qid bigint, dist {'double' if floats else 'bigint'}, ref_id bigint, fraud int")
         parts.append(cut(got) if more or parts else got)
         block.clear()
 
@@ -57,12 +59,6 @@ def exact_knn(queries: DataFrame, refs: DataFrame, k: int = 5, not_self: bool =
     return rank_within(out, "qid", k).select("qid", "rk", "ref_id", "dist", "fraud")
 
 
-def float_knn(queries: DataFrame, refs: DataFrame, distance: Column, k: int = 5) -> DataFrame:
-    """As exact_knn with any distance expression of columns q and r, for query sets that the caller bounds."""
-    pairs = refs.crossJoin(F.broadcast(queries)).where("qid <> ref_id").withColumn("dist", distance)
-    return rank_within(pairs, "qid", k).select("qid", "rk", "ref_id", "dist", "fraud")
-
-
 def votes(queries: DataFrame, neighbours: DataFrame, k: int = 5) -> DataFrame:
     """(qid, found, cnt, worst) for every query: neighbours, frauds among them, greatest distance (NEVER if fewer than k)."""
     got = neighbours.groupBy("qid").agg(F.count("*").alias("found"), F.sum("fraud").alias("cnt"), F.max("dist").alias("far"))

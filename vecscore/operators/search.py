@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import axis, box_bound, l2sq
+from ..functions.vector import axis, box_bound
 from ..params import SearchParams
 from .index import Index
-from .kernel import TopK
+from .kernel import TILE, TopK, distances, matrix
 from .knn import rank_within, votes
 
 MEMBERS = 20_000
@@ -34,10 +35,25 @@ def probes(candidates_: DataFrame, n: int, p: SearchParams = SearchParams()) ->
     return rank_within(candidates_, "qid", p.probes(n), ("lb", "cid"), "probe_rk")
 
 
+def _nearest_centroids(bc, n: int):
+    def run(batches):
+        ids, c = bc.value
+        for batch in batches:
+            qid, v = batch.column(0), matrix(batch.column(1))
+            for i in range(0, len(v), TILE):
+                d = distances(v[i : i + TILE], c)
+                o = np.argsort(d, axis=1, kind="stable")[:, :n]  # ids are in order, so equals stay in id order
+                rows = np.repeat(np.arange(i, i + len(d)), o.shape[1])
+                yield pa.RecordBatch.from_arrays([qid.take(pa.array(rows)), pa.array(ids[o.ravel()]), pa.array(np.take_along_axis(d, o, 1).ravel().astype(np.int64)), pa.array(np.tile(np.arange(1, o.shape[1] + 1, dtype=np.int32), len(d)))], ["qid", "cid", "lb", "probe_rk"])
+
+    return run
+
+
 def centroid_probes(queries: DataFrame, index: Index, n: int) -> DataFrame:
-    """(qid, cid, lb, probe_rk) by distance to the quantized centroids instead, without the grid."""
-    far = queries.select("qid", "v").crossJoin(F.broadcast(index.centroids.select("cid", "cq"))).select("qid", "cid", l2sq(F.col("v"), F.col("cq")).alias("lb"))
-    return rank_within(far, "qid", n, ("lb", "cid"), "probe_rk")
+    """(qid, cid, lb, probe_rk) by distance to the quantized centroids instead, without the grid; centroids are 4096 rows at most."""
+    rows = sorted(index.centroids.select("cid", "cq").collect())
+    bc = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], np.float64)))
+    return queries.select("qid", "v").mapInArrow(_nearest_centroids(bc, n), "qid bigint, cid int, lb bigint, probe_rk int")
 
 
 def _compare(k: int, not_self: bool):

@@ -86,25 +86,20 @@ def q_exact_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("qid", "cnt", "worst", *knn.verdict(F.col("cnt")))
 
 
-def _float(spark: SparkSession, sf_dir: str, distance: Column) -> DataFrame:
+def _float(spark: SparkSession, sf_dir: str, refs: Column) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    q = e.where(F.col("ref_id") % 50 == 0).select(F.col("ref_id").alias("qid"), F.col("e").alias("q"))
-    got = knn.float_knn(q, e.select("ref_id", "fraud", F.col("e").alias("r"), "v"), distance)
+    queries = asked(e.select("ref_id", F.transform("e", lambda x: x.cast("double")).alias("v")))
+    got = knn.exact_knn(queries, e.select("ref_id", refs.alias("v"), "fraud"), not_self=True, floats=True)
     return got.select("qid", "rk", "ref_id", F.round("dist", 6).alias("dist"))
 
 
-def _sum_of_squares(a: str, b: Column) -> Column:
-    pairs = F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))
-    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
-
-
 def q_knn_float(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _float(spark, sf_dir, _sum_of_squares("q", F.transform("r", lambda x: x.cast("double"))))
+    return _float(spark, sf_dir, F.transform("e", lambda x: x.cast("double")))
 
 
 def q_knn_asym(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Float queries against dequantized vectors."""
-    return _float(spark, sf_dir, _sum_of_squares("q", F.transform("v", lambda x: x / F.lit(10000.0))))
+    return _float(spark, sf_dir, F.transform("v", lambda x: x / F.lit(10000.0)))
 
 
 def q_dim_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
