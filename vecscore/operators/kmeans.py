@@ -27,48 +27,57 @@ def stride_init(vectors: DataFrame, n_clusters: int) -> DataFrame:
     return pick.select(F.floor(F.col("ref_id") / s).cast("int").alias("cid"), F.transform("v", lambda x: divide(x.cast("float"), 10000.0)).alias("c"), F.col("v").alias("cq"))
 
 
+def _closest(ids: np.ndarray, c: np.ndarray, v: np.ndarray) -> np.ndarray:
+    parts = [ids[distances(v[i : i + TILE], c).argmin(axis=1)] for i in range(0, len(v), TILE)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+
 def _assign(bc, at: int):
     def run(batches):
-        ids, c = bc.value
+        ids, *sets = bc.value
         for b in batches:
             v = matrix(b.column(at))
-            best = np.concatenate([ids[distances(v[i : i + TILE], c).argmin(axis=1)] for i in range(0, len(v), TILE)]) if len(v) else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best)], [*b.schema.names, "cid"])
+            cols = [pa.array(_closest(ids, c, v) if c is not None else np.zeros(len(v), np.int32)) for c in sets]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *("cid", "old")[: len(cols)]])
 
     return run
 
 
-def assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """vectors with cid, the nearest quantized centroid (the smallest cid of equals)."""
-    rows = sorted(centroids.select("cid", "cq").collect())
-    bc = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], np.float64)))
-    names = [c for c in vectors.columns if c != "cid"]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields if f.name != "cid")
-    return vectors.select(*names).mapInArrow(_assign(bc, names.index("v")), f"{ddl}, cid int")
+def assign(vectors: DataFrame, centroids: DataFrame, *before: DataFrame | None) -> DataFrame:
+    """vectors with cid, the nearest quantized centroid (the smallest cid of equals); with centroids of the round before
+    (or None: all 0), also with old, the nearest of those, so that changes are counted without a join."""
+    spread = lambda df: None if df is None else np.array([r[1] for r in sorted(df.select("cid", "cq").collect())], np.float64)
+    ids = np.array(sorted(r[0] for r in centroids.select("cid").collect()), np.int32)
+    bc = vectors.sparkSession.sparkContext.broadcast((ids, spread(centroids), *(spread(b) for b in before)))
+    names = [c for c in vectors.columns if c not in ("cid", "old")]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields if f.name in names)
+    return vectors.select(*names).mapInArrow(_assign(bc, names.index("v")), f"{ddl}, cid int" + ", old int" * len(before))
 
 
 def update(assigned: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
-    """(cid, n, c, cq): means in 32-bit floats of 64-bit sums; empty clusters keep what they had."""
-    sums = assigned.groupBy("cid").agg(F.count("*").alias("n"), F.array(*(F.sum(F.col("v")[d].cast("bigint")) for d in range(dims))).alias("s"))
+    """(cid, n, changed, c, cq): means in 32-bit floats of 64-bit sums; empty clusters keep what they had. changed counts rows whose old differs."""
+    changed = F.count_if(F.col("cid") != F.col("old")) if "old" in assigned.columns else F.lit(0)
+    sums = assigned.groupBy("cid").agg(F.count("*").alias("n"), changed.alias("changed"), F.array(*(F.sum(F.col("v")[d].cast("bigint")) for d in range(dims))).alias("s"))
     mean = F.transform("s", lambda s: divide(s.cast("float"), F.col("n").cast("float") * f32(10000.0)))
-    new = sums.select("cid", "n", mean.alias("new"))
-    both = centroids.select("cid", "c").join(new, "cid", "left").select("cid", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("new", "c").alias("c"))
+    new = sums.select("cid", "n", "changed", mean.alias("new"))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    both = centroids.select("cid", "c").join(new, "cid", "left").select("cid", count("n"), count("changed"), F.coalesce("new", "c").alias("c"))
     return both.withColumn("cq", F.transform("c", lambda x: F.round(x * f32(10000.0)).cast("int")))
 
 
 def fit(vectors: DataFrame, n_clusters: int, dims: int, rounds: int = 30) -> tuple[DataFrame, int]:
-    """Centroids after at most `rounds` updates, or the one after which no vector changes; and the number of updates."""
+    """Centroids after at most `rounds` updates, or the one after which no vector changes; and the number of updates.
+
+    A round is one scan: assignment, changes and sums in one job that returns n_clusters rows."""
     spark = vectors.sparkSession
-    keep = lambda df: spark.createDataFrame(df.collect(), df.schema)  # noqa: E731  n_clusters rows
-    centroids = keep(stride_init(vectors, n_clusters))
-    before, done = None, 0
+    first = stride_init(vectors, n_clusters)
+    centroids, before, done = spark.createDataFrame(first.collect(), first.schema), None, 0
     while done < rounds:
-        now = assign(vectors, centroids)
-        changed = (now.where("cid <> 0") if before is None else now.select("ref_id", "cid").join(assign(vectors, before).select("ref_id", F.col("cid").alias("old")), "ref_id").where("cid <> old")).limit(1).count()
-        before = centroids
-        centroids = keep(update(now, centroids, dims))
+        new = update(assign(vectors, centroids, before), centroids, dims)
+        rows = new.collect()
+        before, centroids = centroids, spark.createDataFrame(rows, new.schema)
         done += 1
-        if not changed:
+        if not sum(r["changed"] for r in rows):
             break
     return centroids, done
 
