@@ -289,10 +289,11 @@ def test_quality_counts(corpus, docs):
 
 
 def test_cascade_order_changes_no_verdict(docs):
-    rules = quality.default_rules(F.col("text"))
+    rules = {k: v(lambda c: quality.COUNTS[c](F.col("text"))) for k, v in quality.RULES.items()}
     want = {r.doc_id: not any(tuple(r)[1:]) for r in docs.select("doc_id", *(v.alias(k) for k, v in rules.items())).collect()}
     got = {r.doc_id: r for r in quality.quality(docs, sample_rows=20).collect()}
     assert {k: r.kept for k, r in got.items()} == want and all((r.rejected_by is None) == r.kept for r in got.values())
+    assert {r.doc_id: r.kept for r in quality.quality(docs, sample_rows=20, counts=("n_words", "n_repeat_words")).collect()} == want
     assert quality.order_rules({"a": (1.0, 0.1), "b": (0.1, 0.1), "c": (1.0, 0.9)}) == ["b", "c", "a"]
     assert quality.quality(docs.limit(0)).count() == 0
 

@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade, with DataFrame functions only.
 
-Every rule is a Boolean column that is true for a rejected text. On a bounded sample of texts each rule is
+Every rule is a Boolean expression on counts of a text, true where the text is rejected. On a bounded sample of texts each rule is
 run alone: its seconds are its cost, the share it rejects its selectivity. Rules are then tried in the
 order of rejections per cost, and a text that one rule rejects is not shown to the later ones (CASE WHEN
 evaluates branches in order). The order changes the time and `rejected_by`, never the verdict.
@@ -12,6 +12,7 @@ counts are 0 and `few_words` rejects them. Ties in cost and selectivity are brok
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,32 +67,43 @@ def n_repeat_words(text: Column, n: int = WINDOW) -> Column:
     return F.element_at(F.transform(F.transform(F.array(words(text)), lambda ws: window_hashes(ws, n)), lambda h: covered_by_repeats(h, n)), 1)
 
 
-def default_rules(text: Column) -> dict[str, Column]:
-    """True where the rule rejects."""
-    ws = words(text)
-    n = F.size(ws)
-    return {
-        "few_words": n < 10,
-        "repeated_words": F.element_at(F.transform(F.array(ws), lambda w: F.transform(F.array(window_hashes(w)), covered_by_repeats)[0] * 100 > F.size(w) * 20), 1),
-        "long_words": word_chars(text) > 25 * F.greatest(n, F.lit(1)),
-        "symbols": 10 * n_symbols(text) > 3 * n,
-        "repeated_lines": 10 * n_dup_lines(text) > 3 * F.size(F.split(F.coalesce(text, F.lit("")), "\n")),
-        "no_letters": ~F.coalesce(text, F.lit("")).rlike(r"\p{L}"),
-    }
-
-
-def measure(docs: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """Seconds and share rejected of each rule on the sample_rows texts with the least id hashes."""
-    spark = docs.sparkSession
-    sample = docs.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample_rows).select("doc_id", "text").persist()
-    n = sample.count()
-    out = {}
+Counts = Callable[[str], Column]
+Rule = Callable[[Counts], Column]
+
+
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")).rlike(r"\p{L}")
+
+
+def n_lines(text: Column) -> Column:
+    return F.size(F.split(F.coalesce(text, F.lit("")), "\n"))
+
+
+COUNTS: dict[str, Callable[[Column], Column]] = {
+    "n_words": lambda t: F.size(words(t)).cast("bigint"), "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines,
+    "n_repeat_words": n_repeat_words, "n_lines": n_lines, "has_letter": has_letter,
+}
+#: A rule rejects where it is true. It asks for counts by name, so that it can be run on texts or on counts at hand.
+RULES: dict[str, Rule] = {
+    "few_words": lambda c: c("n_words") < 10,
+    "repeated_words": lambda c: 100 * c("n_repeat_words") > 20 * c("n_words"),
+    "long_words": lambda c: c("word_chars") > 25 * F.greatest(c("n_words"), F.lit(1)),
+    "symbols": lambda c: 10 * c("n_symbols") > 3 * c("n_words"),
+    "repeated_lines": lambda c: 10 * c("n_dup_lines") > 3 * c("n_lines"),
+    "no_letters": lambda c: ~c("has_letter"),
+}
+
+
+def measure(docs: DataFrame, rules: dict[str, Rule], doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
+    """Seconds and share rejected of each rule, run alone on the sample_rows texts with the least id hashes."""
+    ids = docs.select(doc_id).orderBy(F.xxhash64(doc_id, F.lit(11)), doc_id).limit(sample_rows).distinct()  # ids alone are sorted
+    sample = docs.select(doc_id, F.col(text).alias("t")).join(F.broadcast(ids), doc_id).select("t").persist()
+    n, out = sample.count(), {}
     for name, rule in rules.items():
-        t = time.perf_counter()
-        hit = sample.agg(F.count_if(rule)).first()[0]
-        out[name] = (time.perf_counter() - t, hit / max(1, n))
+        start = time.perf_counter()
+        hit = sample.agg(F.count_if(rule(lambda k: COUNTS[k](F.col("t"))))).first()[0]
+        out[name] = (time.perf_counter() - start, hit / max(1, n))
     sample.unpersist()
-    del spark
     return out
 
 
@@ -100,10 +112,16 @@ def order_rules(stats: dict[str, tuple[float, float]]) -> list[str]:
     return sorted(stats, key=lambda k: (-(stats[k][1] + 1e-6) / max(stats[k][0], 1e-6), k))
 
 
-def quality(docs: DataFrame, rules: dict[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs with rejected_by (the first rule of the cascade that rejects, else null) and kept."""
-    rules = rules or default_rules(F.col("text"))
+def quality(docs: DataFrame, rules: dict[str, Rule] | None = None, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, counts: tuple[str, ...] = ()) -> DataFrame:
+    """docs with the named counts, rejected_by (the first rule of the cascade that rejects, else null) and kept; these replace columns of their names.
+
+    Counts that are asked for are made once, for every text, and the rules use them; all other work on a text is done
+    only if the cascade gets there."""
+    rules = rules or RULES
+    order = order_rules(measure(docs, rules, doc_id, text, sample_rows))
+    out = docs.withColumns({k: COUNTS[k](F.col(text)) for k in counts}) if counts else docs
+    get = lambda k: F.col(k) if k in counts else COUNTS[k](F.col(text))
     verdict = F.lit(None).cast("string")
-    for name in reversed(order_rules(measure(docs, rules, sample_rows))):
-        verdict = F.when(rules[name], F.lit(name)).otherwise(verdict)
-    return docs.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
+    for name in reversed(order):
+        verdict = F.when(rules[name](get), F.lit(name)).otherwise(verdict)
+    return out.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())

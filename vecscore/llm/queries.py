@@ -15,7 +15,7 @@ from .lines import dedup_lines
 from .minhash import near_duplicates
 from .pieces import encode
 from .pii import KINDS, personal_data, span_list
-from .quality import n_dup_lines, n_repeat_words, n_symbols, quality, word_chars, words
+from .quality import quality
 from .repeats import repeated_spans
 from .sharding import shard_rows
 
@@ -59,11 +59,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    out = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    out = out.select("doc_id", F.size(words(t)).cast("bigint").alias("n_words"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"), n_dup_lines(t).alias("n_dup_lines"), n_repeat_words(t).alias("n_repeat_words"), "kept")
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    out = quality(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=base)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (F.col("kept") & ~failed).alias("kept"))
+    return out.select("doc_id", *base, failed.alias("base_failed"), (F.col("kept") & ~failed).alias("kept"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
