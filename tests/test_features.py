@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecscore.functions import payload
-from vecscore.functions.vector import axis, box_bound, l2sq, quantize
+from vecscore.functions.vector import axis, box_bound, float_box_bound, guarded_ratio, l2sq, quantize
+from vecscore.params import NEVER, SearchParams
 from vecscore.sources.tables import default_risks
 
 
@@ -68,3 +69,16 @@ def test_risk_default_and_digits(spark):
     rows = spark.createDataFrame([("5411",), ("54-11",), ("9999",), (None,), ("",)], "mcc string").select(F.struct("mcc").alias("merchant"))
     got = [r.risk for r in payload.with_risk(rows, default_risks(spark)).collect()]
     assert got == pytest.approx([0.15, 0.15, 0.5, 0.5, 0.5])
+
+
+def test_ratios_and_float_boxes(spark):
+    rows = spark.createDataFrame([(1.0, 0.0), (1.0, 2.0), (3.0, 2.0), (-1.0, 2.0)], "x float, m float")
+    assert [r.g for r in rows.select(guarded_ratio(F.col("x"), F.col("m")).alias("g")).collect()] == [0.0, 0.5, 1.0, 0.0]
+    rows = spark.createDataFrame([([0.5, 2.0], [0.0, 0.0], [1.0, 1.0]), ([0.5, 0.5], [0.0, 0.0], [1.0, 1.0])], "q array<double>, a array<double>, b array<double>")
+    assert [r.d for r in rows.select(float_box_bound(F.col("q"), F.col("a"), F.col("b")).alias("d")).collect()] == [1.0, 0.0]
+
+
+def test_settings():
+    p = SearchParams.from_env({"FAST_NPROBE": "5", "FAST_T1": "4431050", "FAST_T3": "x"})
+    assert (p.fast, p.fast_t[:4]) == (5, (NEVER, 4431050, NEVER, NEVER)) and SearchParams.from_env({}).fast == 16
+    assert p.probes(24) == 16

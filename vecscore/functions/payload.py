@@ -33,6 +33,21 @@ def local_time(s: Column) -> Column:
     return F.try_to_timestamp(F.substring(s, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
 
 
+REQUIRED = (
+    "id", "transaction.amount", "transaction.installments", "customer.avg_amount", "customer.tx_count_24h", "customer.known_merchants",
+    "merchant.id", "merchant.mcc", "merchant.avg_amount", "terminal.is_online", "terminal.card_present", "terminal.km_from_home",
+)
+
+
+def rejects(parsed: DataFrame) -> DataFrame:
+    """parsed with `_reject`, for callers who refuse what isn't complete: a body that is no object, a missing field, or a malformed time."""
+    bad = F.col("_corrupt") | local_time(F.col("transaction.requested_at")).isNull()
+    for name in REQUIRED:
+        bad = bad | F.col(name).isNull()
+    last = F.col("last_transaction").isNotNull() & (local_time(F.col("last_transaction.timestamp")).isNull() | F.col("last_transaction.km_from_current").isNull())
+    return parsed.withColumn("_reject", bad | last)
+
+
 def category(mcc: Column) -> Column:
     """Number made of the digits."""
     return F.regexp_replace(mcc, "[^0-9]", "").try_cast("int")

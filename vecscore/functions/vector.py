@@ -15,6 +15,11 @@ def divide(a: Column, b: Column | float) -> Column:
     return (a / f32(b)).cast("float")
 
 
+def guarded_ratio(x: Column, most: Column) -> Column:
+    """x / most held within 0 and 1; 0 where most is 0."""
+    return F.when(most == 0, f32(0.0)).otherwise(clamp01(divide(x, F.when(most == 0, f32(1.0)).otherwise(most))))
+
+
 def clamp01(x: Column) -> Column:
     return F.when(F.isnan(x), x).otherwise(F.least(f32(1.0), F.greatest(f32(0.0), x)))
 
@@ -40,6 +45,12 @@ def box_bound(q: Column, mn: Column, mx: Column) -> Column:
     return F.aggregate(gap, F.lit(0).cast("bigint"), lambda s, g: s + g * g)
 
 
+def float_box_bound(q: Column, mn: Column, mx: Column) -> Column:
+    """box_bound() of float vectors, in 64-bit floats."""
+    gap = F.transform(F.arrays_zip(q.alias("q"), mn.alias("mn"), mx.alias("mx")), lambda x: F.greatest(x["mn"] - x["q"], x["q"] - x["mx"], F.lit(0)).cast("double"))
+    return F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g)
+
+
 def axis(v: Column, cells: int = 32, scale: int = 10000) -> Column:
     """Cell of a coordinate on one grid axis."""
     return F.least(F.lit(cells - 1), F.greatest(F.lit(0), F.floor((v + scale) / F.lit(2 * scale / cells)).cast("int")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 #: Fixed values of the scoring task: normalisation divisors and merchant-category risks.
@@ -35,3 +36,15 @@ class SearchParams:
 
     def probes(self, n: int) -> int:
         return min(n, self.full)
+
+    @classmethod
+    def from_env(cls, env: Mapping[str, str]) -> SearchParams:
+        """FAST_NPROBE and FAST_T1 to FAST_T5; what is missing or no number keeps its default (all probes, never escalate)."""
+
+        def number(key: str, default: int) -> int:
+            try:
+                return int(env[key])
+            except (KeyError, ValueError):
+                return default
+
+        return cls(fast=number("FAST_NPROBE", cls.full), fast_t=(NEVER, *(number(f"FAST_T{i}", NEVER) for i in range(1, 6))))

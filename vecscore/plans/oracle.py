@@ -121,6 +121,7 @@ def oracle_sql() -> dict[str, str]:
         "q_quantize": f"WITH {EMB} SELECT ref_id, fraud, {TXT.format('v')} AS v FROM emb",
         "q_features": features,
         "q_payload_parse": features,
+        "q_strict": "SELECT event_id AS ref_id, event_id % 10 = 0 OR event_id % 11 = 0 AS _reject FROM events",
         "q_mcc_lookup": f"SELECT event_id AS ref_id, {mcc} AS mcc, {risk} AS risk_bp FROM events",
         "q_known_merchant": f"WITH {TXN} SELECT ref_id, CAST(v[12] = 10000 AS INTEGER) AS unknown FROM txn",
         "q_exact_knn": f"WITH {EMB}, {exact} SELECT qid, CAST(rk AS INTEGER) AS rk, ref_id, dist, fraud FROM nn",

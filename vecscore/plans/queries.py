@@ -64,6 +64,15 @@ def q_payload_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payload.features(parsed, keep=["ref_id", "fraud"]).select("ref_id", "fraud", text("v"))
 
 
+def q_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of which every tenth has a malformed time and every eleventh lacks its merchant."""
+    b = bodies(spark, sf_dir)
+    body = F.when(F.col("ref_id") % 10 == 0, F.regexp_replace("body", "T[0-9]{2}:", "T9x:")).when(F.col("ref_id") % 11 == 0, F.regexp_replace("body", '"merchant":', '"shop":')).otherwise(F.col("body"))
+    # an average may be missing on a user's first event: given here, so that only the changes above are refused
+    body = F.when(body.contains('"avg_amount":') & ~body.rlike('"customer":\\{"avg_amount"'), F.regexp_replace(body, '"customer":\\{', '"customer":{"avg_amount":1.0,')).otherwise(body)
+    return payload.rejects(payload.parse(b.select("ref_id", body.alias("body")))).select("ref_id", "_reject")
+
+
 def q_mcc_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = payload.with_risk(payloads(spark, sf_dir), tables.default_risks(spark))
     return p.select("ref_id", payload.category(F.col("merchant.mcc")).alias("mcc"), F.round(F.col("risk") * 10000).cast("int").alias("risk_bp"))
