@@ -22,6 +22,17 @@ t AS (SELECT doc_id, list(DISTINCT CAST(item_id AS VARCHAR)) AS items FROM h GRO
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(list_sort(items), ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
+OP2 = """WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS t, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substring(t, 2 * p - 1, 400)) AS h FROM (SELECT doc_id, t, unnest(range(1, n - 198)) AS p FROM d WHERE n >= 200)),
+r AS MATERIALIZED (SELECT doc_id, p FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1),
+f AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM r),
+g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM f),
+i AS MATERIALIZED (SELECT doc_id, min(p) AS s, max(p) + 199 AS e FROM g GROUP BY doc_id, k),
+c AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(e - s + 1) AS BIGINT) AS n_removed, max(e) AS last FROM i GROUP BY doc_id),
+b AS (SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a FROM i),
+k AS (SELECT doc_id, string_agg(substring(t, 2 * a + 1, 2 * (s - a - 1)), '' ORDER BY s) AS kept FROM b JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substring(t, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
 OP5 = f"""WITH d AS MATERIALIZED (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 w AS MATERIALIZED (SELECT doc_id, p, 3 AS n, l[p:p + 2] AS win FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS p FROM d WHERE len(l) >= 3) WHERE l[p] <> '' OR l[p + 1] <> '' OR l[p + 2] <> ''
  UNION ALL SELECT doc_id, p, 1, l[p:p] FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM d) WHERE len({split(LOW.format("l[p]"), ALNUM)}) >= 40),
@@ -49,4 +60,4 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id =
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op5_lines": OP5, "op8_quality": OP8, "op9_near_duplicates": OP9}
+    return {"op1_decontaminate": OP1, "op2_repeats": OP2, "op5_lines": OP5, "op8_quality": OP8, "op9_near_duplicates": OP9}
