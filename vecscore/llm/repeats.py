@@ -261,7 +261,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base = materialize(src.mapInArrow(_find_runs(length), "id bigint, n_bytes bigint, key binary, sha string, h array<bigint>, p array<int>, len array<int>, ahead array<int>"))
     classes = base.groupBy("key").agg(F.first("h").alias("h"), F.first("p").alias("p"), F.first("len").alias("len"), F.first("ahead").alias("ahead"))
     each = classes.where("size(h) > 0").select("key", F.explode(F.arrays_zip("h", "p", "len", "ahead")).alias("x")).select("key", "x.*")
-    often = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    # a table of its own, so that the join below may split the partition of an often repeated bucket
+    often = materialize(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     hits = each.join(often, "h").groupBy("key").agg(F.collect_list(F.struct("p", "len", "ahead", "h", "n")).alias("hits"))
     hits = materialize(hits)
     texts = src.select("text").mapInArrow(_with_key, "key binary, text string").groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
