@@ -131,11 +131,19 @@ def has_letter(d: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
+def least(rows: DataFrame, by: str, most: int, seed: int) -> DataFrame:
+    """Of each group of (doc_id, by) the `most` rows of least hash. Groups are counted and thinned by another hash to about four times
+    as many rows before they are ranked, so that the ranking doesn't grow with the input."""
+    n = rows.groupBy(by).agg(F.count("*").alias("__n"))
+    thin = rows.join(F.broadcast(n), by).where(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.greatest(F.lit(1), F.floor(F.col("__n") / (4 * most)))) == 0)
+    order = Window.partitionBy(by).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
+    return thin.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= most).select("doc_id", by)
+
+
 def sample(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, fit_bytes: int = FIT_BYTES) -> tuple[list[str], list[str]]:
     """Texts and languages of the rows to learn from: ids first, by a window over ids alone, then their texts."""
     src = docs.select("doc_id", "lang", "text").where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= fit_bytes))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    ids = src.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
+    ids = least(src.select("doc_id", "lang"), "lang", per_lang, 5)
     rows = src.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select("doc_id", "lang", "text").dropDuplicates(["doc_id"]).collect()  # per_lang rows a language at most
     rows.sort(key=lambda r: str(r[0]))
     return [r[2] for r in rows], [r[1] for r in rows]
