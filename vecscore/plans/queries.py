@@ -237,13 +237,16 @@ def q_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder that all executors share."""
+    """A folder that all executors share; it goes when the session's JVM ends."""
     import tempfile
 
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return f"{sc.getCheckpointDir()}/query-{uuid.uuid4().hex}"
+    at = f"{sc.getCheckpointDir()}/query-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
 
 
 def q_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
