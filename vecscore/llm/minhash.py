@@ -131,7 +131,8 @@ def _compare(n: int, percent: int):
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are links; b is the hub."""
     pairs = materialize(pairs)
-    degree = pairs.groupBy("b").count().select("b", F.ceil(F.col("count") / PER_SALT).cast("int").alias("salts"))
+    # tables of their own, so that the joins may split a hub's partition
+    degree = materialize(pairs.groupBy("b").count().select("b", F.ceil(F.col("count") / PER_SALT).cast("int").alias("salts")))
     partner = pairs.join(degree, "b").select(F.col("b").alias("hub"), F.lit(1).alias("kind"), F.col("a").alias("id"), F.pmod(F.hash("a"), F.col("salts")).alias("salt"))
     own = degree.select(F.col("b").alias("hub"), F.lit(0).alias("kind"), F.col("b").alias("id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     rows = partner.unionAll(own).join(texts, "id").select("hub", "kind", "id", "salt", "text")
@@ -195,6 +196,7 @@ def _across(apart: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
     group = materialize(apart.join(main, "key").select("main", "id", "comp").distinct())
     dealt = group.groupBy("main").agg(F.ceil(F.count_if(F.col("comp") != F.col("main")) / MINORS).cast("int").alias("blocks"), F.ceil(F.count("*") / PASSING).cast("int").alias("salts"))
+    dealt = materialize(dealt)
     rows = group.join(dealt, "main")
     up_to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     minor = rows.where("comp <> main").select("main", F.pmod(F.hash("id"), F.col("blocks")).alias("block"), up_to("salts").alias("salt"), F.lit(0).alias("kind"), "id", "comp")
