@@ -73,6 +73,13 @@ def chunks(offs: np.ndarray, most: int = CHUNK_BYTES):
         i = j
 
 
+def slices(batch: pa.RecordBatch, name: str, most: int = CHUNK_BYTES):
+    """The batch in parts of about `most` bytes of text, so that what is made of a part stays small."""
+    _, offs = utf8(text_column(batch, name))
+    for i, j in chunks(offs, most):
+        yield batch.slice(i, j - i)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B**i and B**-i modulo 2**64 for i < n."""
     have = _POW.get("b")
