@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, chunks, gram_starts, materialize, mix, ngram_hash, span_hash, text_column, utf8, word_spans
+from .common import ALNUM, CHUNK_BYTES, LOWER, chunks, gram_starts, materialize, mix, ngram_hash, slices, span_hash, text_column, utf8, word_spans
 
 RUN = 3
 LONG_WORDS = 40
@@ -43,7 +43,7 @@ def _runs(run: int, long_words: int):
             data, offs = utf8(text_column(batch, "text"))
             ids = batch.column(0)
             rows, out = [], [[], [], [], []]
-            for i, j in chunks(offs):
+            for i, j in chunks(offs, CHUNK_BYTES // 4):
                 d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 s, e, first = line_spans(d, o)
                 h = span_hash(d, s, e)
@@ -75,18 +75,18 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kind = docs.schema[doc_id].dataType.simpleString()
     src = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     runs = materialize(src.mapInArrow(_runs(run, long_words), f"fp bigint, win bigint, id {kind}, p int, n int"))
-    often = runs.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
-    near = runs.join(often, "fp", "left_semi")
-    near = materialize(near)
+    # counts and first places are tables of their own, so that the joins with them may split what is often repeated
+    often = materialize(runs.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"))
+    near = materialize(runs.join(often, "fp", "left_semi"))
     first = near.groupBy("fp", "win", "n").agg(F.min(F.struct("id", "p")).alias("first"), F.max(F.struct("id", "p")).alias("last")).where("first <> last").select("fp", "win", "n", "first")
-    later = near.join(first, ["fp", "win", "n"]).where(F.struct("id", "p") != F.col("first"))
+    later = near.join(materialize(first), ["fp", "win", "n"]).where(F.struct("id", "p") != F.col("first"))
     lines = later.select("id", F.explode(F.sequence("p", F.col("p") + F.col("n") - 1)).alias("line")).distinct()
     return lines.groupBy("id").agg(F.array_sort(F.collect_list("line")).alias("lines")).withColumnRenamed("id", doc_id)
 
 
 def _cut(keep: list[str], text: str):
     def work(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, text)):
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             texts, total, gone = [], [], []
             for t, lines in zip(col[text].to_pylist(), col["__lines"].to_pylist(), strict=True):
