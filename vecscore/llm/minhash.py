@@ -38,7 +38,7 @@ BANDS, ROWS = 48, 4
 D_BITS = 20
 SEED = 20_26
 PER_SALT = 256
-MINORS, PASSING = 300, 4000
+MINORS, PASSING = 300, 1000
 
 
 @functools.cache
@@ -216,6 +216,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = materialize(sets.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
     exploded = classes.where("rep is not null").select("rep", F.explode("bands").alias("key"))
     shared = exploded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1").select("key", "low")
+    shared = materialize(shared)
     members = materialize(exploded.join(shared, "key").select("key", "rep", "low"))
     nodes = members.select(F.col("rep").alias("id")).distinct()
     texts = materialize(src.join(nodes, "id").dropDuplicates(["id"]))
