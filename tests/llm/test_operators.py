@@ -220,6 +220,24 @@ def test_dedup_lines(spark, docs, corpus):
     assert lines.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_dedup_short_runs(spark):
+    """Passages of two lines, each under the limit of one line."""
+    r = random.Random(5)
+    line = lambda k: " ".join(r.choice("abcdefgh") + str(r.randrange(10**6)) for _ in range(k))
+    a, b, c, d, e, f, g = (line(k) for k in (27, 35, 19, 20, 45, 8, 39))
+    own = lambda: line(6)
+    whole = [
+        f"{a}\n{b}", f"{own()}\n{a}\n{b}\n{own()}", f"{a}\n{b}", f"{b}\n{a}", f"{c}\n{d}", f"{own()}\n{c}\n{d}", f"{e}\n{f}", f"{f}\n{own()}\n{e}\n{f}", f"{e}\n\n{own()}\n{e}\n\n{own()}",
+        f"{g}\n{own()}", f"{g}\n\n{own()}\n{g}\n\n{own()}", f"{a}\n{b}\n{own()}\n{a}\n{b}",
+    ]
+    got = {x.doc_id: x for x in lines.dedup_lines(documents(spark, whole).repartition(3)).collect()}
+    gone = {1: {1, 2}, 2: {0, 1}, 7: {2, 3}, 8: {0, 3}, 11: {0, 1, 3, 4}}
+    for k, t in enumerate(whole):
+        part = t.split("\n")
+        want = "\n".join(x for i, x in enumerate(part) if i not in gone.get(k, ()))
+        assert (got[k].n_lines, got[k].n_removed, got[k].text) == (len(part), len(gone.get(k, ())), want), k
+
+
 # --- pieces
 
 

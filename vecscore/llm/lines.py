@@ -1,7 +1,8 @@
 """Line dedup by winnowing over line hashes.
 
-A repeated run is `run` consecutive lines, or one line of at least `long_words` words, whose like starts
-earlier in the corpus: at a smaller id, or before it in the same text. Every line of a later run is deleted.
+A repeated run is `run` consecutive lines, or fewer consecutive lines that have at least `long_words` words
+together (the first and the last of them some), whose like starts earlier in the corpus: at a smaller id, or
+before it in the same text. Every line of a later run is deleted.
 
 Each window of `run` lines selects its least line hash (the leftmost of equal ones) as fingerprint, so equal
 windows select equal fingerprints at equal places: a shared run can't be missed. Fingerprints that occur once
@@ -49,19 +50,19 @@ def _runs(run: int, long_words: int):
                 h = span_hash(d, s, e)
                 doc = np.repeat(np.arange(j - i), np.diff(first))
                 blank = s == e
-                at = gram_starts(first, run)
-                if len(at):
-                    at = at[~np.all([blank[at + k] for k in range(run)], axis=0)]
                 fp = mix(h + np.uint64(3))
-                least = at + np.argmin(np.stack([fp[at + k] for k in range(run)]), axis=0) if len(at) else at
                 ws, _, _ = word_spans(LOWER[d], o, ALNUM)
                 many = np.searchsorted(ws, e) - np.searchsorted(ws, s)
-                lone = np.flatnonzero(many >= long_words)
-                win = np.concatenate([ngram_hash(h, run)[at], ngram_hash(h, 1)[lone]]).view(np.int64)
-                p, q = np.concatenate([at, lone]), np.concatenate([least, lone])
-                rows.append(i + doc[p])
-                for x, v in zip(out, (fp[q].view(np.int64), win, p - first[doc[p]], np.repeat([run, 1], [len(at), len(lone)])), strict=True):
-                    x.append(v)
+                for n in range(1, run + 1):
+                    at = gram_starts(first, n)
+                    if n == run:
+                        at = at[~np.all([blank[at + k] for k in range(n)], axis=0)]
+                    else:
+                        at = at[(many[at] > 0) & (many[at + n - 1] > 0) & (sum(many[at + k] for k in range(n)) >= long_words)]
+                    least = at + np.argmin(np.stack([fp[at + k] for k in range(n)]), axis=0)
+                    rows.append(i + doc[at])
+                    for x, v in zip(out, (fp[least].view(np.int64), ngram_hash(h, n)[at].view(np.int64), at - first[doc[at]], np.full(len(at), n)), strict=True):
+                        x.append(v)
             none = np.zeros(0, np.int64)
             fp, win, p, n = (np.concatenate([*x, none]) for x in out)
             take = pa.array(np.concatenate([*rows, none]).astype(np.int64))
