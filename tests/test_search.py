@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vecscore.operators import index as ix
 from vecscore.operators import kmeans, knn, search, tuning
 from vecscore.params import NEVER, SearchParams
-from vecscore.plans import fixtures
+from vecscore.plans import fixtures, queries
 from vecscore.sources import tables
 
 P = SearchParams(fast=2, fast_t=(NEVER, 110_000_000, 115_000_000, 120_000_000, 125_000_000, 130_000_000))
@@ -47,6 +47,19 @@ def test_exact_knn(refs, arrays, block):
     assert got == {q: brute(v, q, drop=q) for q in range(0, len(v), 50)}
 
 
+def test_exact_score_searches_all_others(spark, sf):
+    rows = fixtures.transactions(spark, sf).orderBy("ref_id").collect()
+    ids, v, fraud = np.array([r.ref_id for r in rows]), np.array([r.v for r in rows], np.int64), np.array([r.fraud for r in rows])
+    got = {r.qid: r for r in queries.q_exact_score(spark, sf).collect()}
+    asked = np.flatnonzero(ids % 50 == 0)
+    assert sorted(got) == ids[asked].tolist()
+    for q in asked.tolist():
+        near = brute(v, q, drop=q)
+        cnt = int(sum(fraud[o] for _, o in near))
+        x = got[int(ids[q])]
+        assert (x.cnt, x.worst, x.approved, x.fraud_score) == (cnt, near[-1][0], cnt < 3, cnt / 5)
+
+
 def test_ties_and_few_rows(spark):
     refs = spark.createDataFrame([(i, [1, 1], 1) for i in (5, 3, 9, 1)], "ref_id long, v array<int>, fraud int")
     q = spark.createDataFrame([(100, [1, 1]), (101, [0, 0])], "qid long, v array<int>")
