@@ -220,6 +220,13 @@ def test_dedup_lines(spark, docs, corpus):
     assert lines.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_dedup_beside_another_first_place(spark):
+    """The first place of each line of the run is among other lines than the run's earlier like."""
+    whole = ["x1\nb\ny1", "a\nx2\ny2", "x3\ny3\nc", "a\nb\nc", "own\na\nb\nc"]
+    got = {x.doc_id: (x.n_removed, x.text) for x in lines.dedup_lines(documents(spark, whole).repartition(3)).collect()}
+    assert got == {**{k: (0, t) for k, t in enumerate(whole[:4])}, 4: (3, "own")}
+
+
 def test_dedup_short_runs(spark):
     """Passages of two lines, each under the limit of one line."""
     r = random.Random(5)

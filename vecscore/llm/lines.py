@@ -1,15 +1,18 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by hashes of whole windows of lines, with their least line hash as a prefilter.
 
 A repeated run is `run` consecutive lines, or fewer consecutive lines that have at least `long_words` words
 together (the first and the last of them some), whose like starts earlier in the corpus: at a smaller id, or
 before it in the same text. Every line of a later run is deleted.
 
-Each window of `run` lines selects its least line hash (the leftmost of equal ones) as fingerprint, so equal
-windows select equal fingerprints at equal places: a shared run can't be missed. Fingerprints that occur once
-are dropped. What is left is extended both ways to the windows around the fingerprint, and equal windows
-meet by their hash beside the fingerprint's (128 bits): the first place of each is found by a partially
-aggregated minimum, so a passage that a third of all texts have meets as one row for each task. The other
-places are the later runs.
+Each window selects its least line hash (the leftmost of equal ones) as fingerprint, so equal windows select
+equal fingerprints: a shared run can't be missed. Windows whose fingerprint occurs once are dropped. Of the
+others, equal windows meet by their hash beside the fingerprint's (128 bits): the first place of each is found
+by a partially aggregated minimum, so a passage that a third of all texts have meets as one row for each task.
+The other places are the later runs; longer runs are the union of their windows.
+
+This is not winnowing with extension: fingerprints are not thinned, and no match is extended from the places
+of its fingerprint. The first place of a fingerprint may lie among other lines than the run's earlier like,
+so extension from it alone would miss repeats, and extension from all places grows with the square of a line's count.
 
 Lines are parts between LF bytes, compared as bytes; blank lines count as lines, but a window of blank lines
 only is no run. Null texts have no lines and stay null. Rows that repeat an id are one text. Ids have to be
