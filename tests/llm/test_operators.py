@@ -5,11 +5,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import ALNUM, LOW, ODD, PLAIN, crc, documents
-from vecscore.llm import language, lines, minhash, pieces, pii, quality, repeats, sharding, toxicity
+from vecscore.llm import common, language, lines, minhash, pieces, pii, quality, repeats, sharding, toxicity
 from vecscore.llm.decontaminate import decontaminate
 from vecscore.llm.suffix_array import adjacent_common, big_endian_words, two_stage
 
@@ -40,6 +41,23 @@ def docs(spark, corpus):
     return documents(spark, corpus, more=True).repartition(3).cache()
 
 
+@pytest.mark.parametrize(("step", "span"), [(37, 5), (64, 64), (1000, 10)])
+def test_hashes_in_pieces(monkeypatch, step, span):
+    """Spans have the hash of their bytes wherever a piece ends."""
+    rng = np.random.default_rng(step)
+    d = rng.integers(0, 3, 500).astype(np.uint8)
+    s = np.sort(rng.integers(0, 501, 400))
+    e = np.minimum(s + rng.integers(0, 40, 400), 500)
+    monkeypatch.setattr(common, "HASH_STEP", step)
+    monkeypatch.setattr(common, "HASH_SPAN", span)
+    monkeypatch.setattr(common, "_POW", {})
+    h = common.span_hash(d, s, e)
+    of = collections.defaultdict(set)
+    for a, b, x in zip(s.tolist(), e.tolist(), h.tolist(), strict=True):
+        of[d[a:b].tobytes()].add(x)
+    assert all(len(v) == 1 for v in of.values()) and len({x for v in of.values() for x in v}) == len(of)
+
+
 # --- decontamination
 
 
@@ -202,24 +220,57 @@ def test_language(spark):
 # --- lines
 
 
-def test_dedup_lines(spark, docs, corpus):
-    got = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
-    seen = set()
-    for k, t in enumerate(corpus):
-        part, gone = (t or "").split("\n") if t is not None else [], set()
-        for n in (3, 1):
+def brute_lines(rows, run=3, limit=40):
+    """(lines, removed, text) of rows (id, text) in the order they are judged."""
+    seen, out = set(), []
+    for _, t in rows:
+        part, gone = t.split("\n") if t is not None else [], set()
+        count = [len(ALNUM.findall(x.translate(LOW))) for x in part]
+        for n in range(1, run + 1):
             for p in range(len(part) - n + 1):
                 w = tuple(part[p : p + n])
-                if n == 3 and not any(w) or n == 1 and len(ALNUM.findall(w[0].translate(LOW))) < 40:
+                if not any(w) if n == run else not count[p] or not count[p + n - 1] or sum(count[p : p + n]) < limit:
                     continue
                 if (n, w) in seen:
                     gone |= set(range(p, p + n))
                 seen.add((n, w))
-        want = "\n".join(x for i, x in enumerate(part) if i not in gone) if gone else t
-        assert (got[k].n_lines, got[k].n_removed, got[k].text) == (len(part), len(gone), want), k
+        out.append((len(part), len(gone), "\n".join(x for i, x in enumerate(part) if i not in gone) if gone else t))
+    return out
+
+
+def test_dedup_lines(spark, docs, corpus):
+    got = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    want = brute_lines(list(enumerate(corpus)))
+    for k in range(len(corpus)):
+        assert (got[k].n_lines, got[k].n_removed, got[k].text) == want[k], k
     assert lines.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_dedup_repeated_ids_and_nulls(spark):
+    """Rows are told apart by themselves, not by their ids."""
+    para = "one\ntwo\nthree\nfour"
+    rows = [(5, "a\nb\nc\nd"), (5, para + "\nown"), (7, para), (7, para), (None, para), (None, "x\ny\nz"), (8, "x\ny\nz"), (9, None), (9, ""), (9, "\n\n\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("x")).withColumn("__row", F.lit(1)).repartition(3)
+    got = lines.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "__row", "n_lines", "n_removed"]
+    want = [(5, "a\nb\nc\nd", 0), (5, "own", 4), (7, "", 4), (7, "", 4), (None, para, 0), (None, "x\ny\nz", 0), (8, "", 3), (9, None, 0), (9, "", 0), (9, "\n\n\n", 0)]
+    assert sorted(map(repr, ((r.doc_id, r.text, r.n_removed) for r in got.collect()))) == sorted(map(repr, want))
+
+
+def test_dedup_compares_bytes(spark, monkeypatch):
+    """Lines whose hashes are all equal are still told apart, and fingerprints decide what is compared."""
+    monkeypatch.setattr(lines, "span_hash", lambda d, s, e: np.zeros(len(s), np.uint64))
+    whole = ["a\nb\nc", "d\ne\nf", "d\ne\nf\ng"]
+    batch = [pa.RecordBatch.from_pylist([{"row": i, "text": t} for i, t in enumerate(whole)])]
+    prints = [b for b in lines._winnow(3, 40)(batch)]
+    assert sum(b.num_rows for b in prints) == 4 < sum(t.count("\n") + 1 for t in whole)
+    near = pa.RecordBatch.from_pylist([{"row": i, "id": i, "tie": 0, "at": [0, 1] if i == 2 else [0], "text": t} for i, t in enumerate(whole)])
+    wins = [r for b in lines._extend(3, 40)([near]) for r in b.to_pylist()]
+    assert len({r["win"] for r in wins}) == 3 and len(wins) == 4
+    near = near.set_column(3, "at", pa.array([[], [], []], pa.list_(pa.int32())))
+    assert sum(b.num_rows for b in lines._extend(3, 40)([near])) == 0  # without joined fingerprints nothing is compared
+
+
 def test_dedup_beside_another_first_place(spark):
     """The first place of each line of the run is among other lines than the run's earlier like."""
     whole = ["x1\nb\ny1", "a\nx2\ny2", "x3\ny3\nc", "a\nb\nc", "own\na\nb\nc"]

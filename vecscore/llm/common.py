@@ -6,6 +6,7 @@ bounded size, so that the memory of a Python worker does not depend on the table
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
+HASH_STEP, HASH_SPAN = 1 << 18, 1 << 16
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BINV = np.uint64(pow(int(_B), -1, 1 << 64))
 _POW: dict[str, np.ndarray] = {}
@@ -80,16 +82,14 @@ def slices(batch: pa.RecordBatch, name: str, most: int = CHUNK_BYTES):
         yield batch.slice(i, j - i)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n."""
-    have = _POW.get("b")
-    if have is None or len(have) < n:
-        m = max(n, 1 << 16)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """B**i and B**-i modulo 2**64 for a piece of span_hashes(): a table of bounded size."""
+    if not _POW:
         for key, b in (("b", _B), ("i", _BINV)):
-            p = np.full(m, b, np.uint64)
+            p = np.full(HASH_STEP + HASH_SPAN, b, np.uint64)
             p[0] = 1
             _POW[key] = np.multiply.accumulate(p)
-    return _POW["b"][:n], _POW["i"][:n]
+    return _POW["b"], _POW["i"]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -137,11 +137,27 @@ def word_spans(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple
 
 
 def span_hashes(data: np.ndarray, *spans: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-    """64-bit hashes of data[s:e] for every span of each list (s, e)."""
-    p, inv = powers(len(data) + 1)
-    acc = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:-1], out=acc[1:])
-    return [mix((acc[e] - acc[s]) * inv[s] + (e - s).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) for s, e in spans]
+    """64-bit hashes of data[s:e] for every span of each list (s, e), s ascending.
+
+    Bytes are taken in pieces of HASH_STEP, so that memory doesn't grow with a text; spans of over HASH_SPAN bytes
+    are hashed one by one."""
+    p, inv = powers()
+    out = [np.zeros(len(s), np.uint64) for s, _ in spans]
+    for base in range(0, len(data), HASH_STEP):
+        d = data[base : base + HASH_STEP + HASH_SPAN]
+        acc = np.zeros(len(d) + 1, np.uint64)
+        np.cumsum((d.astype(np.uint64) + np.uint64(1)) * p[: len(d)], out=acc[1:])
+        for (s, e), h in zip(spans, out, strict=True):
+            i, j = np.searchsorted(s, (base, base + HASH_STEP))
+            a, n = s[i:j] - base, e[i:j] - s[i:j]
+            short = np.minimum(n, HASH_SPAN)
+            h[i:j] = mix((acc[a + short] - acc[a]) * inv[a] + n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    for (s, e), h in zip(spans, out, strict=True):
+        for k in np.flatnonzero(e - s > HASH_SPAN):
+            h[k] = int.from_bytes(hashlib.blake2b(data[s[k] : e[k]], digest_size=8).digest(), "little")
+        if len(h) and s[-1] >= len(data):  # empty spans at the very end
+            h[s >= len(data)] = mix(np.zeros(1, np.uint64))[0]
+    return out
 
 
 def span_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -205,3 +221,15 @@ def materialize(df: DataFrame) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The rows with a number of their own in a written table, so that a number means the same row in every later pass."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()))

@@ -33,9 +33,10 @@ b AS (SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0
 k AS (SELECT doc_id, string_agg(substring(t, 2 * a + 1, 2 * (s - a - 1)), '' ORDER BY s) AS kept FROM b JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substring(t, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
-OP5 = f"""WITH d AS MATERIALIZED (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+OP5 = f"""WITH d AS MATERIALIZED (SELECT doc_id, l, list_transform(l, lambda x: len({split(LOW.format("x"), ALNUM)})) AS c FROM (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents)),
 w AS MATERIALIZED (SELECT doc_id, p, 3 AS n, l[p:p + 2] AS win FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS p FROM d WHERE len(l) >= 3) WHERE l[p] <> '' OR l[p + 1] <> '' OR l[p + 2] <> ''
- UNION ALL SELECT doc_id, p, 1, l[p:p] FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM d) WHERE len({split(LOW.format("l[p]"), ALNUM)}) >= 40),
+ UNION ALL SELECT doc_id, p, 2, l[p:p + 1] FROM (SELECT doc_id, l, c, unnest(range(1, len(l))) AS p FROM d WHERE len(l) >= 2) WHERE c[p] > 0 AND c[p + 1] > 0 AND c[p] + c[p + 1] >= 40
+ UNION ALL SELECT doc_id, p, 1, l[p:p] FROM (SELECT doc_id, l, c, unnest(range(1, len(l) + 1)) AS p FROM d) WHERE c[p] >= 40),
 x AS (SELECT doc_id, p, n FROM w QUALIFY row_number() OVER (PARTITION BY n, win ORDER BY doc_id, p) > 1),
 g AS MATERIALIZED (SELECT doc_id, list(DISTINCT q) AS gone FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM x) GROUP BY doc_id)
 SELECT d.doc_id, len(l) AS n_lines, coalesce(len(gone), 0) AS n_removed,
