@@ -115,7 +115,7 @@ def repeated_lines(rows: DataFrame, row: str, doc_id: str = "doc_id", text: str
     # counts and first places are tables of their own, so that the joins with them may split what is often repeated
     often = materialize(prints.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"))
     places = materialize(prints.join(often, "fp", "left_semi").groupBy("row").agg(F.collect_list("p").alias("at")))
-    near = src.join(places, "row").select("row", "id", F.xxhash64("text").alias("tie"), "at", "text").mapInArrow(_extend(run, long_words), f"win binary, row bigint, id {kind}, tie bigint, p int, n int")
+    near = src.join(places.hint("merge"), "row").select("row", "id", F.xxhash64("text").alias("tie"), "at", "text").mapInArrow(_extend(run, long_words), f"win binary, row bigint, id {kind}, tie bigint, p int, n int")
     near = materialize(near)
     place = F.struct("id", "tie", "row", "p")
     first = near.groupBy("win").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select("win", F.col("first.row").alias("first_row"), F.col("first.p").alias("first_p"))
@@ -147,6 +147,6 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run
     row, lines = fresh(docs, "__row"), fresh(docs, "__lines")
     rows = numbered(docs, row)
     cut = repeated_lines(rows, row, doc_id, text, run, long_words).select(F.col("row").alias(row), F.col("lines").alias(lines))
-    joined = rows.join(cut, row, "left").select(*docs.columns, lines)
+    joined = rows.join(cut.hint("merge"), row, "left").select(*docs.columns, lines)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return joined.mapInArrow(_cut(docs.columns, text, lines), f"{ddl}, n_lines bigint, n_removed bigint")
