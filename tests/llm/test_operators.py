@@ -85,6 +85,77 @@ def test_decontaminate(spark, corpus, docs, block):
     assert any(x.contaminated for x in got.values()) and r
 
 
+@pytest.mark.parametrize("block", [5, 1 << 20])
+def test_decontaminate_repeated_ids(spark, block):
+    """Every row is in the result, whatever its id and however many blocks the benchmark has."""
+    rows = [(1, "alpha beta"), (1, "gamma delta"), (1, "alpha beta"), (None, "clean"), (None, "gamma"), (2, None)]
+    bench = spark.createDataFrame([(7, "alpha"), (8, "gamma delta"), (None, "clean"), (9, "beta"), (9, "omega")], "item_id long, text string")
+    got = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_bytes=block).collect()
+    want = [(1, 2, 2, ["7", "9"]), (1, 2, 2, ["8"]), (1, 2, 2, ["7", "9"]), (None, 1, 1, []), (None, 1, 0, []), (2, 0, 0, [])]
+    assert sorted(map(repr, ((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize(("most", "overlap"), [(10, 0), (10, 3), (40, 9)])
+def test_word_pieces(most, overlap):
+    r = random.Random(most)
+    text = "".join(r.choice(["ab ", "c", " ", "long" * 9, "\n"]) for _ in range(200))
+    d = np.frombuffer(text.encode(), np.uint8)
+    words, last = text.split(), 0
+    for number, part, s, e in common.word_pieces(d, common.NONSPACE, overlap, most):
+        raw = part.tobytes()
+        got = [raw[a:b].decode() for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+        assert got == words[number : number + len(got)] and number in (0, last - overlap)
+        last = number + len(got)
+    assert last == len(words)
+
+
+def test_decontaminate_long_text(monkeypatch):
+    """Parts of a long text give the hits and counts of the whole."""
+    from vecscore.llm import decontaminate as dc
+
+    r = random.Random(8)
+    text = " ".join(r.choice("abcdef") for _ in range(600))
+    batch = pa.RecordBatch.from_pylist([{"text": "x"}, {"text": text}, {"text": None}])
+    bench = [(i, text[k : k + 2 * (4 if i % 2 else 12)].strip()) for i, k in enumerate(range(0, 800, 90))]
+    win = dc.Windows(bench, 10)
+    keys = np.unique(np.concatenate(win.grams))
+
+    class Box:
+        def __init__(self, value):
+            self.value = value
+
+        def broadcast(self, value):
+            return Box(value)
+
+    class Narrow:
+        sparkSession = property(lambda self: self)
+        sparkContext = Box(None)
+
+        def mapInArrow(self, f, ddl):  # noqa: N802
+            out = [b for b in f([batch])]
+            self.total = {k: n for b in out for k, n in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+            return self
+
+        groupBy = agg = lambda self, *a: self  # noqa: E731, N815
+
+        def collect(self):
+            return list(self.total.items())
+
+    def run():
+        n = Narrow()
+        bc = dc._prepare(n, "text", bench, 10)
+        return n.total, [b.to_pylist() for b in dc._join("text", [], bc)([batch])]
+
+    from unittest import mock
+
+    with mock.patch.object(dc.F, "sum", lambda c: c):
+        whole = run()
+        monkeypatch.setattr(dc, "CHUNK_BYTES", 50)
+        monkeypatch.setattr(dc, "chunks", lambda o: common.chunks(o, 50))
+        monkeypatch.setattr(dc, "word_pieces", lambda d, w, k: common.word_pieces(d, w, k, 50))
+        assert run() == whole and len(keys) > 3 and whole[1][0][1]["hits"]
+
+
 def test_decontaminate_empty(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(docs, bench).where("contaminated or n_hit > 0").count() == 0

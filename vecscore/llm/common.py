@@ -113,6 +113,9 @@ def class_table(chars: str, inside: bool) -> np.ndarray:
 #: Words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z: digits, letters, all that isn't ASCII.
 ALNUM = class_table("0123456789abcdefghijklmnopqrstuvwxyz", True)
 ALNUM[128:] = True
+#: The same before lower-casing.
+ANYCASE = ALNUM.copy()
+ANYCASE[65:91] = True
 #: Words [^\x20\x09-\x0D]+.
 NONSPACE = class_table(" \t\n\x0b\x0c\r", False)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -136,6 +139,27 @@ def word_spans(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple
     return s, e, np.searchsorted(s, offs)
 
 
+def word_pieces(d: np.ndarray, is_word: np.ndarray, overlap: int, most: int = CHUNK_BYTES):
+    """(number of the first word, bytes, starts, ends) of parts of one text that cut no word and share `overlap` words: memory is that of a part."""
+    at, number = 0, 0
+    while True:
+        size = most
+        while True:
+            end = min(len(d), at + size)
+            if end < len(d):
+                gap = np.flatnonzero(~is_word[d[at:end]])
+                end = at + int(gap[-1]) + 1 if len(gap) else at
+            s, e, _ = word_spans(d[at:end], np.array([0, end - at]), is_word)
+            if end == len(d) or len(s) > overlap:
+                break
+            size *= 2
+        yield number, d[at:end], s, e
+        if end == len(d):
+            return
+        number += len(s) - overlap
+        at = at + int(s[len(s) - overlap]) if overlap else end
+
+
 def span_hashes(data: np.ndarray, *spans: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
     """64-bit hashes of data[s:e] for every span of each list (s, e), s ascending.
 

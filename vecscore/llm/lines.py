@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, CHUNK_BYTES, LOWER, chunks, fresh, gram_starts, materialize, mix, numbered, slices, span_hash, text_column, utf8, word_spans
+from .common import ANYCASE, CHUNK_BYTES, chunks, fresh, gram_starts, materialize, mix, numbered, slices, span_hash, text_column, utf8
 
 RUN = 3
 LONG_WORDS = 40
@@ -51,13 +51,27 @@ def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return s, e, np.concatenate([[0], np.cumsum(n)])
 
 
+def words_between(d: np.ndarray, s: np.ndarray, e: np.ndarray, step: int = CHUNK_BYTES) -> np.ndarray:
+    """Number of words in each line, counted in pieces."""
+    upto = np.zeros((2, len(s)), np.int64)  # words that start before, the first byte apart
+    places, total = (np.minimum(s + 1, e), e), 0
+    for base in range(0, len(d) + 1, step):
+        w = ANYCASE[d[max(0, base - 1) : base + step]]
+        begin = np.flatnonzero(w[1:] & ~w[:-1]) + max(1, base)
+        for k, x in enumerate(places):
+            i, j = np.searchsorted(x, (base, base + step))
+            upto[k, i:j] = total + np.searchsorted(begin, x[i:j])
+        total += len(begin)
+    some = s < e
+    return upto[1] - upto[0] + (some & ANYCASE[d[np.minimum(s, len(d) - 1)]] if len(d) else 0)
+
+
 def selected(d: np.ndarray, o: np.ndarray, run: int, long_words: int):
     """(starts, ends, first lines) as of line_spans, and of every window (lines, first line, selected line) by number of lines."""
     s, e, first = line_spans(d, o)
     fp = mix(span_hash(d, s, e) + np.uint64(3))
     blank = s == e
-    ws, _, _ = word_spans(LOWER[d], o, ALNUM)
-    many = np.searchsorted(ws, e) - np.searchsorted(ws, s)
+    many = words_between(d, s, e)
     windows = []
     for n in range(1, run + 1):
         at = gram_starts(first, n)
