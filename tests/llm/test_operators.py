@@ -540,6 +540,42 @@ def test_near_duplicate_chains(spark, monkeypatch):
     assert got == dict(enumerate(comp))
 
 
+def test_near_duplicates_repeated_and_other_ids(spark):
+    """Ids that repeat, are null or are strings; rows are compared by their texts."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"q{i}" for i in range(30))
+    rows = [("5", a), ("5", c), ("7", b), ("9", c), (None, a), (None, "own words only here now"), ("8", None), ("8", ""), ("3", "UPPER lower"), ("3", "upper LOWER")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("node", F.lit("x")).repartition(3)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in minhash.near_duplicates(df).collect())
+    want = [("5", 56, "5", True), ("5", 26, "5", True), ("7", 56, "5", False), ("9", 26, "5", False), ("None", 56, "5", False), ("None", 1, "None", True), ("8", 0, "8", True), ("8", 0, "8", True)]
+    assert got == sorted([*want, ("3", 1, "3", True), ("3", 1, "3", True)])
+
+
+def test_template_family_does_not_meet(spark):
+    """Texts that share a template but are under the threshold leave nothing to compare; those over it are found."""
+    r = random.Random(2)
+    template = [f"t{i}" for i in range(150)]
+    out = [" ".join([*template, *(f"u{i}_{k}" for k in range(r.randint(55, 75)))]) for i in range(300)]
+    sets = [next(minhash.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))) for t in out]
+    table = spark.createDataFrame([(i, bytearray(h.tobytes())) for i, h in enumerate(sets)], "node long, h binary")
+    alone = spark.createDataFrame([(i, i) for i in range(300)], "node long, comp long")
+    assert minhash._meeting(alone, table, 75).count() == 0
+    out += [" ".join([*template, *(f"v{i // 2}_{k}" for k in range(60)), *(f"u{i}_{k}" for k in range(12))]) for i in range(20)]
+    size, comp = brute_classes(out)
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(documents(spark, out)).collect()}
+    assert got == dict(enumerate(comp)) and len(set(comp)) == 310
+
+
+def test_long_text_shingles(monkeypatch):
+    text = " ".join(random.Random(3).choice("abcd") for _ in range(500))
+    d, o = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+    few = np.frombuffer(b"aa bb " + b"c" * 90, np.uint8)
+    want = [next(minhash.shingle_sets(d, o)), next(minhash.shingle_sets(few, np.array([0, 96])))]
+    monkeypatch.setattr(minhash, "CHUNK_BYTES", 60)
+    monkeypatch.setattr(minhash, "word_pieces", lambda x, w, k: common.word_pieces(x, w, k, 60))
+    assert all((next(minhash.shingle_sets(x, np.array([0, len(x)]))) == y).all() for x, y in zip((d, few), want, strict=True))
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
