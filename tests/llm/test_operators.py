@@ -181,6 +181,20 @@ def test_two_stage(alphabet):
             assert lcp[k] >= min(64, same) // 8 * 8
 
 
+def test_crowded_bucket_of_segments_seen_twice(spark):
+    """Many distinct segments of one bucket, each in two texts, are split into windows too."""
+    r = random.Random(9)
+    core = "".join(r.choice("abcdefgh") for _ in range(200))
+    side = lambda: "".join(r.choice("abcdefgh") for _ in range(40))
+    whole = [x for _ in range(12) for x in [side() + core + side()] for x in (x, x + "tail")]
+    count = collections.Counter(t[i : i + 200] for t in whole for i in range(len(t) - 199))
+    for hot in (2, 4096):
+        got = {x.doc_id: x for x in repeats.repeated_spans(documents(spark, whole), hot=hot).collect()}
+        for k, t in enumerate(whole):
+            gone = {j for i in range(len(t) - 199) if count[t[i : i + 200]] > 1 for j in range(i, i + 200)}
+            assert {j for x in got[k].spans for j in range(x.s, x.e)} == gone, (hot, k)
+
+
 @pytest.mark.parametrize("hot", [1, 3, 4096])
 def test_repeated_spans(corpus, docs, hot):
     got = {r.doc_id: r for r in repeats.repeated_spans(docs, hot=hot).collect()}
@@ -461,6 +475,29 @@ def test_sharding(spark, corpus, docs, bucket):
     assert {r.doc_id: r.slot for r in again} == {r.doc_id: r.slot for r in out}
 
 
+def test_sharding_columns(spark, docs, corpus):
+    """crc32, and the law: the id and the number of shards alone decide, and one shard more takes rows only into itself."""
+    import zlib
+
+    out = {r.doc_id: r for r in sharding.shard_rows(docs, payload=["doc_id"]).collect()}
+    assert all(out[k].text_crc32 == zlib.crc32((t or "").encode()) for k, t in enumerate(corpus))
+    other = {r.doc_id: r for r in sharding.shard_rows(docs.withColumn("text", F.lit("same")), payload=["doc_id"]).collect()}
+    assert {k: r.shard for k, r in out.items()} == {k: r.shard for k, r in other.items()}
+    nine = {r.doc_id: r.shard for r in sharding.shard_rows(docs, shards=9, payload=["doc_id"]).collect()}
+    assert nine == {k: r.grown_shard for k, r in out.items()} and any(v == 8 for v in nine.values())
+
+
+def test_sharding_spreads_equal_rows(spark):
+    """Rows of one id and text come into many buckets; slots are gapless and the same whatever the partitions."""
+    rows = spark.range(0, 3000, 1, 5).selectExpr("if(id < 2000, 7, id) as doc_id", "if(id < 2000, 'hot', string(id % 3)) as text").unionByName(spark.createDataFrame([(None, None)] * 30, "doc_id long, text string"))
+    dealt = sharding._spread(rows.selectExpr("xxhash64(doc_id, text) as scatter"), 10)
+    assert dealt.groupBy("deal").count().agg(F.max("count")).first()[0] <= 10 and dealt.count() == 3030
+    one, two = (sharding.shard_rows(x, bucket_rows=80).collect() for x in (rows, rows.repartition(3)))
+    assert sorted(map(repr, one)) == sorted(map(repr, two))
+    for s in range(8):
+        assert sorted(r.slot for r in one if r.shard == s) == list(range(sum(r.shard == s for r in one)))
+
+
 def test_write_shards(docs, tmp_path):
     sharding.write_shards(sharding.shard_rows(docs, shards=3, payload=["doc_id", "text"]), f"{tmp_path}/s")
     assert sorted(p.name for p in tmp_path.glob("s/shard=*")) == ["shard=0", "shard=1", "shard=2"]

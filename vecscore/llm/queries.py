@@ -62,7 +62,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     out = quality(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=base)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.select("doc_id", *base, failed.alias("base_failed"), (F.col("kept") & ~failed).alias("kept"))
+    return out.select("doc_id", *base, failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(F.col("kept")).alias("kept"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

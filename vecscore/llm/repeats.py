@@ -18,7 +18,8 @@ a run, and a run's bytes go to its bucket as one segment.
 5. Repeated starts go back to the texts that have the segment and are merged to spans of bytes.
 
 Odd cases: null texts are empty; texts under `length` bytes lose nothing; rows with equal texts (also with
-equal ids) are copies of each other, hence cut wholly where long enough. Extra columns are not read.
+equal ids) are copies of each other, hence cut wholly where long enough. Ids are only passed on, whatever their type. Extra columns are not read. An
+empty table gives an empty table. Ties between equal minima go to the leftmost. Very long texts are taken in pieces of half a MB that share the bytes of a window less one.
 """
 
 from __future__ import annotations
@@ -258,7 +259,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if length % 8 or length < GRAM + 8:
         raise ValueError("length has to be a multiple of 8, of 56 at least")
     src = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    base = materialize(src.mapInArrow(_find_runs(length), "id bigint, n_bytes bigint, key binary, sha string, h array<bigint>, p array<int>, len array<int>, ahead array<int>"))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    base = materialize(src.mapInArrow(_find_runs(length), f"id {kind}, n_bytes bigint, key binary, sha string, h array<bigint>, p array<int>, len array<int>, ahead array<int>"))
     classes = base.groupBy("key").agg(F.first("h").alias("h"), F.first("p").alias("p"), F.first("len").alias("len"), F.first("ahead").alias("ahead"))
     each = classes.where("size(h) > 0").select("key", F.explode(F.arrays_zip("h", "p", "len", "ahead")).alias("x")).select("key", "x.*")
     # a table of its own, so that the join below may split the partition of an often repeated bucket
@@ -271,7 +273,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # max() of the bytes takes the one row of a text that has them; equal sid, equal bytes
     distinct = materialize(segments.groupBy("h", "sid", "hot").agg(F.sum("copies").alias("n"), F.max("seg").alias("seg")))
-    crowded = distinct.where("hot and n = 1").groupBy("h").count().where(F.col("count") > hot).select("h")
+    crowded = distinct.where("hot").groupBy("h").count().where(F.col("count") > hot).select("h")
     crowded = materialize(crowded)
     rest = distinct.join(crowded, "h", "left_anti") if crowded.limit(1).count() else distinct
     from pyspark.sql import Window
