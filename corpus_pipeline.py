@@ -8,6 +8,10 @@
 
 Every stage works on all that the one before kept. All but the last return the columns of documents, with
 n_chars kept in step with the text.
+
+Rows are told apart by themselves: repeated and null ids are rows of their own in every stage. Null and empty texts are not toxic, have no lines,
+near duplicates, benchmark windows or pieces, and stay. Of equal ids in a class of near duplicates the first row stays. An empty table gives empty
+stages (and no classifier). Ties, very long texts and columns with clashing names are as in the operators' modules.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecscore.llm import toxicity
-from vecscore.llm.common import materialize, table
+from vecscore.llm.common import fresh, materialize, numbered, table
 from vecscore.llm.decontaminate import decontaminate
 from vecscore.llm.language import crc_part
 from vecscore.llm.lines import dedup_lines
@@ -41,8 +45,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    row, key = fresh(docs, "__row"), fresh(docs, "__key")
+    rows = numbered(docs, row)  # repeated ids are rows of their own: of equal ids the first row counts as smaller
+    keyed = rows.withColumn(key, F.struct(F.col("doc_id").alias("id"), F.col(row).alias("row")))
+    gone = near_duplicates(keyed, doc_id=key).where("not kept").select(F.col(f"{key}.row").alias(row))
+    return rows.join(gone, row, "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
