@@ -82,3 +82,13 @@ def test_settings():
     p = SearchParams.from_env({"FAST_NPROBE": "5", "FAST_T1": "4431050", "FAST_T3": "x"})
     assert (p.fast, p.fast_t[:4]) == (5, (NEVER, 4431050, NEVER, NEVER)) and SearchParams.from_env({}).fast == 16
     assert p.probes(24) == 16
+
+
+def test_float_features_honour_the_offset(spark):
+    last = {"timestamp": "2026-03-11T18:00:00Z", "km_from_current": 500}
+    rows = [body(50, 6, "2026-03-12T01:30:00+02:00", 100, 2, ["M"] * 20 + ["X"], "X", "5411", 100, True, False, 10, last), body(0, 1, "x", 0, 1, [], "X", "5411", 1, True, True, 1, last)]
+    parsed = payload.with_risk(payload.parse(spark.createDataFrame(list(enumerate(rows)), "qid long, body string")), default_risks(spark))
+    got = {r.qid: r.v for r in payload.float_features(parsed, keep=["qid"]).collect()}
+    want = [0.005, 0.5, 0.05, 23 / 23, 2 / 6, 330 / 1440, 0.5, 0.01, 0.1, 1.0, 0.0, 0.0, 0.15, 0.01]
+    assert got[0] == pytest.approx(want, abs=1e-6)
+    assert np.isnan(got[1][2]) and got[1][3:6] == [0.0, 0.0, 0.0]

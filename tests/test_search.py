@@ -143,6 +143,48 @@ def test_large_clusters_are_split(built, refs, monkeypatch):
     assert sorted(search.probe_votes(q, search.neighbours(q, probed, built, P), 16, P).collect()) == whole
 
 
+def test_bounds_prune_without_loss(built, refs):
+    """Clusters whose bound is beyond the k-th neighbour are left out, and no vote changes."""
+    q = fixtures.asked(refs)
+    probed = search.probes(search.candidates(q, built), 16)
+    every, some = (search.neighbours(q, probed, built, P, bounded=b).cache() for b in (False, True))
+    assert some.count() <= every.count()
+    for n in (2, 5, 16):
+        assert sorted(search.probe_votes(q, some, n, P).collect()) == sorted(search.probe_votes(q, every, n, P).collect())
+
+
+def test_references_to_index_to_verdict(spark, tmp_path):
+    r = np.random.default_rng(4)
+    v = r.random((60, 14)).round(4)
+    for part, rows in enumerate((range(25), range(25, 60))):
+        with gzip.open(f"{tmp_path}/{part}.json.gz", "wt") as f:
+            json.dump([{"vector": v[i].tolist(), "label": "fraud" if i % 3 == 0 else "legit"} for i in rows], f)
+    index = ix.build_index(spark, f"{tmp_path}/*.json.gz", f"{tmp_path}/index", n_clusters=4, rounds=3, seed=7)
+    rows = index.vectors.orderBy("ref_id").collect()
+    assert [x.ref_id for x in rows] == list(range(60)) and sum(x.fraud for x in rows) == 20
+    q = index.vectors.where("ref_id < 5").select(F.col("ref_id").alias("qid"), "v")
+    near = search.neighbours(q, search.centroid_probes(q, index, 4), index)
+    w = np.array([x.v for x in rows], np.int64)
+    for x in search.probe_votes(q, near, 16).collect():
+        assert (x.cnt, x.worst) == (sum(rows[i].fraud for _, i in brute(w, x.qid)), brute(w, x.qid)[-1][0])
+    with pytest.raises(ValueError):
+        ix.build(index.vectors.where("ref_id <> 3"), 14, 4)
+    spark.createDataFrame([(1, 15, [0, 1])], "version int, dims int, disc array<int>").write.mode("overwrite").parquet(f"{tmp_path}/index/meta")
+    with pytest.raises(ValueError):
+        ix.load(spark, f"{tmp_path}/index")
+
+
+def test_seeding_covers_all_ids(spark):
+    """The bounded sample isn't a prefix."""
+    df = spark.range(0, 199).selectExpr("id as ref_id", "array(cast(if(id < 100, 0, 9000) as int), 0) as v", "0 as fraud")
+    assert {tuple(r.cq) for r in kmeans.seed_plus_plus(df, 2, most=100).collect()} == {(0, 0), (9000, 0)}
+
+
+def test_csv_rates(spark, tmp_path):
+    tables.write_csv(spark.createDataFrame([(4, 1 / 3)], "nprobe int, fn_rate double"), f"{tmp_path}/c")
+    assert [x.value for x in spark.read.text(f"{tmp_path}/c").collect()] == ["nprobe,fn_rate", "4,0.33333333"]
+
+
 def test_save_and_load(spark, built, tmp_path):
     ix.save(built, f"{tmp_path}/i")
     again = ix.load(spark, f"{tmp_path}/i")

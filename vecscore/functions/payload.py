@@ -65,6 +65,32 @@ def whole(x: Column) -> Column:
     return f32(F.coalesce(x.try_cast("int"), F.lit(0)))
 
 
+YEAR_ONE = -62135596800
+
+
+def float_features(payloads: DataFrame, norm: Norm = Norm(), keep: list[str] | None = None) -> DataFrame:
+    """The kept columns and v, 14 features as 32-bit floats without quantization, in 64-bit steps. Times are RFC 3339 with their offset; a malformed
+    one is the first second of year 1. All known merchants count; an amount over an average of 0 is 1 (0 over 0: NaN)."""
+    get = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+    seconds = lambda c: F.coalesce(F.unix_micros(F.try_to_timestamp(F.when(F.col(c).rlike(r"(?:Z|[+-][0-9]{2}:[0-9]{2})$"), F.col(c)))) / F.lit(1e6), F.lit(float(YEAR_ONE)))
+    clamp = lambda x: F.when(F.isnan(x), x).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
+    at, last = seconds("transaction.requested_at"), seconds("last_transaction.timestamp")
+    amount, avg = get("transaction.amount"), get("customer.avg_amount")
+    ratio = F.when(avg == 0, F.when(amount > 0, 1.0).when(amount < 0, 0.0).otherwise(float("nan"))).otherwise(clamp(amount / F.when(avg == 0, 1.0).otherwise(avg) / norm.amount_vs_avg_ratio))
+    first = F.col("last_transaction").isNull()
+    known = F.coalesce(F.array_contains("customer.known_merchants", F.col("merchant.id")), F.lit(False))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("double")
+    count = lambda c: F.coalesce(F.col(c).try_cast("int"), F.lit(0)).cast("double")
+    dims = [
+        clamp(amount / norm.max_amount), clamp(count("transaction.installments") / norm.max_installments), ratio,
+        F.pmod(F.floor(at / 3600), F.lit(24)) / 23, F.pmod(F.floor(at / 86400) + 3, F.lit(7)) / 6,
+        F.when(first, -1.0).otherwise(clamp((at - last) / 60 / norm.max_minutes)), F.when(first, -1.0).otherwise(clamp(get("last_transaction.km_from_current") / norm.max_km)),
+        clamp(get("terminal.km_from_home") / norm.max_km), clamp(count("customer.tx_count_24h") / norm.max_tx_count_24h), flag("terminal.is_online"), flag("terminal.card_present"),
+        F.when(known, 0.0).otherwise(1.0), F.col("risk").cast("double"), clamp(get("merchant.avg_amount") / norm.max_merchant_avg_amount),
+    ]
+    return payloads.select(*(keep or []), F.array(*(d.cast("float") for d in dims)).alias("v"))
+
+
 def features(payloads: DataFrame, norm: Norm = Norm(), keep: list[str] | None = None) -> DataFrame:
     """The kept columns and v, the 14 quantized features of rows as of parse() with `risk`."""
     zero = f32(0.0)

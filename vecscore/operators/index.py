@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import axis
 from ..params import SearchParams
+from ..sources import tables
+from ..sources.checkpoint import cut
 from . import kmeans
 
 VERSION = 1
@@ -92,24 +94,34 @@ def pack_blocks(assigned: DataFrame) -> DataFrame:
     return rows.groupBy("cid", "block").agg(F.count("*").alias("n"), F.sum(F.col("fraud") * F.expr("shiftleft(1, bit)")).cast("bigint").alias("labels"))
 
 
-def build(refs: DataFrame, dims: int, n_clusters: int | None = None, rounds: int = 30, p: SearchParams = SearchParams()) -> Index:
-    """refs: (ref_id from 0 to n - 1, v, fraud)."""
-    refs = refs.select("ref_id", "v", "fraud")
-    n_clusters = n_clusters or max(1, min(kmeans.MOST_CLUSTERS, round(refs.count() ** 0.5)))
-    centroids, _ = kmeans.fit(refs, n_clusters, dims, rounds)
+def build(refs: DataFrame, dims: int, n_clusters: int | None = None, rounds: int = 30, p: SearchParams = SearchParams(), seed: int | None = None) -> Index:
+    """refs: (ref_id from 0 to n - 1, v, fraud), written once since every round scans them. seed: k-means++ instead of the stride start."""
+    refs = cut(refs.select("ref_id", "v", "fraud"))
+    n, last = refs.agg(F.count("*"), F.max("ref_id")).first()
+    if n and last + 1 != n:
+        raise ValueError(f"{n} references with ids up to {last}: ids have to be 0 to n - 1")
+    n_clusters = n_clusters or max(1, min(kmeans.MOST_CLUSTERS, round(n**0.5)))
+    centroids, _ = kmeans.fit(refs, n_clusters, dims, rounds, seed)
     return assemble(refs, centroids, dims, p)
 
 
 def assemble(refs: DataFrame, centroids: DataFrame, dims: int, p: SearchParams = SearchParams()) -> Index:
-    vectors = kmeans.assign(refs, centroids)
-    box = boxes(vectors, dims)
+    vectors = cut(kmeans.assign(refs, centroids))  # every search and summary reads them
+    box = cut(boxes(vectors, dims))
     disc = strongest(refs, dims)
     clusters = offsets(box, centroids).join(box.drop("n"), "cid", "left")
     meta = refs.sparkSession.createDataFrame([(VERSION, dims, list(disc))], "version int, dims int, disc array<int>")
     return Index(meta, clusters, grid_cells(box, disc, p), vectors, centroids)
 
 
+def build_index(spark: SparkSession, references: str, out: str, dims: int = 14, n_clusters: int | None = None, rounds: int = 30, seed: int | None = None, p: SearchParams = SearchParams()) -> Index:
+    """From a file of references to a saved index, as loaded again."""
+    save(build(tables.labelled(tables.read_references(spark, references)), dims, n_clusters, rounds, p, seed), out)
+    return load(spark, out)
+
+
 PARTS = ("meta", "clusters", "grid", "vectors", "centroids")
+COLUMNS = {"meta": ("version", "dims", "disc"), "clusters": ("cid", "n", "start", "mn", "mx"), "grid": ("bucket", "cid"), "vectors": ("ref_id", "v", "fraud", "cid"), "centroids": ("cid", "cq")}
 
 
 def save(index: Index, path: str) -> None:
@@ -126,6 +138,12 @@ def load(spark: SparkSession, path: str) -> Index:
     version = index.meta.first()["version"]
     if version != VERSION:
         raise ValueError(f"index version {version} at {path}, {VERSION} is needed")
+    for name, columns in COLUMNS.items():
+        lacks = set(columns) - set(getattr(index, name).columns)
+        if lacks:
+            raise ValueError(f"{name} of the index at {path} lacks {sorted(lacks)}")
+    if index.vectors.where(F.size("v") != index.meta.first()["dims"]).limit(1).count():
+        raise ValueError(f"the index at {path} has vectors of other dimensions")
     if index.clusters.agg(F.sum("n")).first()[0] != index.vectors.count():
         raise ValueError(f"the index at {path} lacks vectors")
     return index

@@ -65,12 +65,13 @@ def update(assigned: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
     return both.withColumn("cq", F.transform("c", lambda x: F.round(x * f32(10000.0)).cast("int")))
 
 
-def fit(vectors: DataFrame, n_clusters: int, dims: int, rounds: int = 30) -> tuple[DataFrame, int]:
+def fit(vectors: DataFrame, n_clusters: int, dims: int, rounds: int = 30, seed: int | None = None) -> tuple[DataFrame, int]:
     """Centroids after at most `rounds` updates, or the one after which no vector changes; and the number of updates.
 
-    A round is one scan: assignment, changes and sums in one job that returns n_clusters rows."""
+    A round is one scan: assignment, changes and sums in one job that returns n_clusters rows. The start is every (n div n_clusters)-th vector, or
+    with a seed that of k-means++."""
     spark = vectors.sparkSession
-    first = stride_init(vectors, n_clusters)
+    first = stride_init(vectors, n_clusters) if seed is None else seed_plus_plus(vectors, n_clusters, seed)
     centroids, before, done = spark.createDataFrame(first.collect(), first.schema), None, 0
     while done < rounds:
         new = update(assign(vectors, centroids, before), centroids, dims)
@@ -83,10 +84,12 @@ def fit(vectors: DataFrame, n_clusters: int, dims: int, rounds: int = 30) -> tup
 
 
 def seed_plus_plus(vectors: DataFrame, n_clusters: int, seed: int = 42, most: int = 10_000) -> DataFrame:
-    """(cid, c, cq) by k-means++ on every (n div most)-th vector: a bounded sample, so it is seeded on the driver."""
+    """(cid, c, cq) by k-means++ on `most` vectors evenly spread over all ids (0 to n - 1): a bounded sample, so it is seeded on the driver."""
     n = vectors.count()
-    step = max(1, n // most)
-    v = np.array([r[0] for r in vectors.where(F.col("ref_id") % step == 0).orderBy("ref_id").select("v").collect()], np.float64)[:most]
+    if not 0 < n_clusters <= min(n, most, MOST_CLUSTERS):
+        raise ValueError(f"{n_clusters} clusters of {min(n, most)} vectors")
+    spread = F.lit(True) if n <= most else F.col("ref_id") * most % n < most
+    v = np.array([r[0] for r in vectors.where(spread).orderBy("ref_id").select("v").collect()], np.float64)
     rng = np.random.default_rng(seed)
     take = [int(rng.integers(len(v)))]
     near = distances(v, v[take]).min(axis=1)

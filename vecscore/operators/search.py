@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import axis, box_bound
 from ..params import SearchParams
+from ..sources.checkpoint import cut
 from .index import Index
 from .kernel import TILE, TopK, distances, matrix
 from .knn import rank_within, votes
@@ -69,18 +70,35 @@ def _compare(k: int, not_self: bool):
     return run
 
 
-def neighbours(queries: DataFrame, probed: DataFrame, index: Index, p: SearchParams = SearchParams(), not_self: bool = False) -> DataFrame:
+def neighbours(queries: DataFrame, probed: DataFrame, index: Index, p: SearchParams = SearchParams(), not_self: bool = False, bounded: bool = False) -> DataFrame:
     """(qid, probe_rk, dist, ref_id, fraud): the k nearest members of every probed cluster.
 
+    bounded: lb is a lower bound of the distances in a cluster (as of candidates()). Then the p.fast first probes are searched before the
+    others, and of those only clusters whose bound isn't beyond the k-th neighbour found: the rest can't change any vote of p.fast probes or more."""
+    probed = cut(probed)
+    if not bounded:
+        return _members(queries, probed, index, p, not_self)
+    first = cut(_members(queries, probed.where(F.col("probe_rk") <= p.fast), index, p, not_self))
+    far = rank_within(first, "qid", p.k).groupBy("qid").agg(F.count("*").alias("found"), F.max("dist").alias("far")).where(F.col("found") == p.k)
+    rest = probed.where(F.col("probe_rk") > p.fast).join(far.select("qid", "far"), "qid", "left").where("far is null or lb <= far").drop("far")
+    return first.unionByName(_members(queries, cut(rest), index, p, not_self))
+
+
+def _members(queries: DataFrame, probed: DataFrame, index: Index, p: SearchParams, not_self: bool) -> DataFrame:
+    """The members of the probed clusters, of which at most 4096 exist: their numbers are a filter on the scan of the vectors.
+
     Queries and members meet by cluster in blocks of at most about MEMBERS by QUERIES rows: a large cluster is split by
     member, a much-probed one by query, and the other side is repeated for each part."""
     asked = queries.select("qid", "v").join(probed.select("qid", "cid", "probe_rk"), "qid")
     size = index.clusters.select("cid", F.greatest(F.ceil(F.col("n") / MEMBERS), F.lit(1)).cast("int").alias("ms"))
     want = probed.groupBy("cid").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qs"))
     dealt = size.join(want, "cid")
+    cids = [r[0] for r in want.select("cid").collect()]
+    vectors = index.vectors.where(F.col("cid").isin(cids)) if cids else index.vectors.limit(0)
+    vectors = vectors.select(*(F.col(c).alias(c) for c in ("ref_id", "v", "fraud", "cid")))  # columns of their own: queries may come from the index too
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     q = asked.join(dealt, "cid").select("qid", "v", F.col("cid").alias("cid"), each("ms").alias("m"), F.pmod(F.hash("qid"), F.col("qs")).alias("q"))
-    r = index.vectors.join(dealt, "cid").select("ref_id", "v", "fraud", F.col("cid").alias("cid"), F.pmod(F.hash("ref_id"), F.col("ms")).alias("m"), each("qs").alias("q"))
+    r = vectors.join(dealt, "cid").select("ref_id", "v", "fraud", F.col("cid").alias("cid"), F.pmod(F.hash("ref_id"), F.col("ms")).alias("m"), each("qs").alias("q"))
     got = q.groupBy("cid", "m", "q").cogroup(r.groupBy("cid", "m", "q")).applyInPandas(_compare(p.k, not_self), "qid bigint, cid int, dist bigint, ref_id bigint, fraud int")
     return got.join(probed.select("qid", "cid", "probe_rk"), ["qid", "cid"]).select("qid", "probe_rk", "dist", "ref_id", "fraud")
 

@@ -39,6 +39,28 @@ ev4 AS (SELECT *, CAST(CAST(cents AS DOUBLE) / 100 AS FLOAT) AS amount, CASE WHE
 txn AS MATERIALIZED (SELECT event_id AS ref_id, CAST((event_type IN ('signup', 'error') AND k >= 50) OR k >= 90 AS INTEGER) AS fraud, [{", ".join(QZ.format(d) for d in _DIMS)}] AS v FROM ev4)"""
 
 
+TXN_EMB = f"""{TXN}, emb AS MATERIALIZED (SELECT * FROM txn)"""
+_HOLD = "CASE WHEN isnan({0}) THEN {0} ELSE least(1::DOUBLE, greatest(0::DOUBLE, {0})) END"
+_AMOUNT = "CAST(amount AS DOUBLE)"
+_AVG = "CAST(CASE WHEN n > 0 THEN CAST(CAST(s AS DOUBLE) / n / 100 AS FLOAT) ELSE 0 END AS DOUBLE)"
+_FLOAT_DIMS = [
+    _HOLD.format(f"({_AMOUNT} / 10000)"),
+    "least(1::DOUBLE, CAST(k % 14 AS DOUBLE) / 12)",
+    f"CASE WHEN {_AVG} = 0 THEN CASE WHEN {_AMOUNT} > 0 THEN 1::DOUBLE WHEN {_AMOUNT} < 0 THEN 0::DOUBLE ELSE 'NaN'::DOUBLE END ELSE least(1::DOUBLE, greatest(0::DOUBLE, {_AMOUNT} / {_AVG} / 10)) END",
+    "CAST(hour(ts) AS DOUBLE) / 23",
+    "CAST(isodow(ts) - 1 AS DOUBLE) / 6",
+    "CASE WHEN lts IS NULL THEN -1::DOUBLE ELSE least(1::DOUBLE, greatest(0::DOUBLE, CAST(floor(epoch(ts)) - floor(epoch(lts)) AS DOUBLE) / 60 / 1440)) END",
+    "CASE WHEN lts IS NULL THEN -1::DOUBLE ELSE least(1::DOUBLE, CAST(abs(k - lk) * 13 AS DOUBLE) / 1000) END",
+    "least(1::DOUBLE, CAST((k * 37) % 1200 AS DOUBLE) / 1000)",
+    "least(1::DOUBLE, CAST(c24 AS DOUBLE) / 20)",
+    "CAST(event_type IN ('click', 'view', 'signup') AS DOUBLE)",
+    "CAST(event_type = 'purchase' AS DOUBLE)",
+    "CASE WHEN coalesce(list_contains(prev, mid), false) THEN 0::DOUBLE ELSE 1::DOUBLE END",
+    "CAST(CASE event_type WHEN 'click' THEN 0.15::FLOAT WHEN 'view' THEN 0.30::FLOAT WHEN 'purchase' THEN 0.50::FLOAT WHEN 'signup' THEN 0.85::FLOAT ELSE 0.5::FLOAT END AS DOUBLE)",
+    "least(1::DOUBLE, CAST(CAST(CAST(msum AS DOUBLE) / mn / 100 AS FLOAT) AS DOUBLE) / 10000)",
+]
+
+
 def dist(a: str, b: str) -> str:
     return f"CAST(list_sum(list_transform(range(1, len({a}) + 1), lambda i: CAST({a}[i] - {b}[i] AS BIGINT) * CAST({a}[i] - {b}[i] AS BIGINT))) AS BIGINT)"
 
@@ -56,39 +78,50 @@ def voted(source: str, queries: str, name: str = "vt") -> str:
  CASE WHEN count(n.qid) = 5 THEN max(n.dist) ELSE {NEVER} END AS worst FROM ({queries}) q LEFT JOIN {source} n ON n.qid = q.ref_id GROUP BY q.ref_id)"""
 
 
-def step(i: int) -> str:
+def step(i: int, dims: int = 64) -> str:
     """a{i}: assignment with c{i}; c{i + 1}: the update."""
     return f"""a{i} AS MATERIALIZED (SELECT e.ref_id, any_value(e.v) AS v, any_value(e.fraud) AS fraud, arg_min(c.cid, struct_pack(d := {dist("e.v", "c.cq")}, c := c.cid)) AS cid FROM emb e, c{i} c GROUP BY e.ref_id),
-u{i} AS (SELECT cid, d, count(*) AS n, sum(v[d]) AS s FROM a{i}, (SELECT unnest(range(1, 65)) AS d) GROUP BY cid, d),
+u{i} AS (SELECT cid, d, count(*) AS n, sum(v[d]) AS s FROM a{i}, (SELECT unnest(range(1, {dims + 1})) AS d) GROUP BY cid, d),
 m{i} AS (SELECT cid, any_value(n) AS n, list(CAST(CAST(s AS FLOAT) / (CAST(n AS FLOAT) * 10000::FLOAT) AS FLOAT) ORDER BY d) AS c FROM u{i} GROUP BY cid),
 c{i + 1} AS MATERIALIZED (SELECT cid, n, c, list_transform(c, lambda x: CAST(round(x * 10000::FLOAT) AS INTEGER)) AS cq FROM (SELECT o.cid, coalesce(m.n, 0) AS n, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m USING (cid)))"""
 
 
-INIT = f"""{EMB},
-st AS (SELECT count(*) // {CLUSTERS} AS s FROM emb),
-c0 AS MATERIALIZED (SELECT CAST(ref_id // s AS INTEGER) AS cid, list_transform(v, lambda x: CAST(x AS FLOAT) / 10000::FLOAT) AS c, v AS cq FROM emb, st WHERE ref_id % s = 0 AND ref_id // s < {CLUSTERS})"""
-FIT = ",\n".join([INIT, *(step(i) for i in range(ROUNDS))])
+def init(source: str = EMB, clusters: int = CLUSTERS) -> str:
+    return f"""{source},
+st AS (SELECT count(*) // {clusters} AS s FROM emb),
+c0 AS MATERIALIZED (SELECT CAST(ref_id // s AS INTEGER) AS cid, list_transform(v, lambda x: CAST(x AS FLOAT) / 10000::FLOAT) AS c, v AS cq FROM emb, st WHERE ref_id % s = 0 AND ref_id // s < {clusters})"""
+
+
+def fitted(source: str = EMB, dims: int = 64, clusters: int = CLUSTERS, rounds: int = ROUNDS) -> str:
+    return ",\n".join([init(source, clusters), *(step(i, dims) for i in range(rounds))])
+
+
+INIT, FIT = init(), fitted()
 
 
 def axis(v: str) -> str:
     return f"least(31, greatest(0, (({v}) + 10000) // 625))"
 
 
-INDEX = f"""{FIT},
-asg AS MATERIALIZED (SELECT e.ref_id, any_value(e.v) AS v, any_value(e.fraud) AS fraud, arg_min(c.cid, struct_pack(d := {dist("e.v", "c.cq")}, c := c.cid)) AS cid FROM emb e, c{ROUNDS} c GROUP BY e.ref_id),
-bd AS (SELECT cid, d, count(*) AS n, min(v[d]) AS lo, max(v[d]) AS hi FROM asg, (SELECT unnest(range(1, 65)) AS d) GROUP BY cid, d),
+def indexed(source: str = EMB, dims: int = 64, clusters: int = CLUSTERS, rounds: int = ROUNDS) -> str:
+    return f"""{fitted(source, dims, clusters, rounds)},
+asg AS MATERIALIZED (SELECT e.ref_id, any_value(e.v) AS v, any_value(e.fraud) AS fraud, arg_min(c.cid, struct_pack(d := {dist("e.v", "c.cq")}, c := c.cid)) AS cid FROM emb e, c{rounds} c GROUP BY e.ref_id),
+bd AS (SELECT cid, d, count(*) AS n, min(v[d]) AS lo, max(v[d]) AS hi FROM asg, (SELECT unnest(range(1, {dims + 1})) AS d) GROUP BY cid, d),
 box AS MATERIALIZED (SELECT cid, any_value(n) AS n, list(lo ORDER BY d) AS mn, list(hi ORDER BY d) AS mx FROM bd GROUP BY cid),
-en AS MATERIALIZED (SELECT CAST(d - 1 AS INTEGER) AS dim, CAST(sum(CAST(v[d] AS BIGINT) * v[d]) AS BIGINT) AS sumsq FROM emb, (SELECT unnest(range(1, 65)) AS d) GROUP BY d),
+en AS MATERIALIZED (SELECT CAST(d - 1 AS INTEGER) AS dim, CAST(sum(CAST(v[d] AS BIGINT) * v[d]) AS BIGINT) AS sumsq FROM emb, (SELECT unnest(range(1, {dims + 1})) AS d) GROUP BY d),
 dd AS (SELECT list(dim + 1 ORDER BY sumsq DESC, dim)[1:2] AS x FROM en),
 grid AS MATERIALIZED (SELECT CAST(a * 32 + b AS INTEGER) AS bucket, cid FROM (SELECT cid, unnest(range(greatest(0, {axis("mn[x[1]]")} - 2), least(31, {axis("mx[x[1]]")} + 2) + 1)) AS a,
   {axis("mn[x[2]]")} AS b0, {axis("mx[x[2]]")} AS b1 FROM box, dd) t, (SELECT unnest(range(0, 32)) AS b) u WHERE b BETWEEN b0 - 2 AND b1 + 2)"""
 
 
-def cand(queries: str) -> str:
+INDEX = indexed()
+
+
+def cand(queries: str, dims: int = 64) -> str:
     """cd: (qid, cid, lb) of the queries; pr: ranked, 16 at most."""
     gap = "greatest(b.mn[i] - q.v[i], q.v[i] - b.mx[i], 0)"
     return f"""qs AS MATERIALIZED (SELECT * FROM emb WHERE {queries}),
-cd AS MATERIALIZED (SELECT q.ref_id AS qid, b.cid, CAST(list_sum(list_transform(range(1, 65), lambda i: CAST({gap} AS BIGINT) * CAST({gap} AS BIGINT))) AS BIGINT) AS lb
+cd AS MATERIALIZED (SELECT q.ref_id AS qid, b.cid, CAST(list_sum(list_transform(range(1, {dims + 1}), lambda i: CAST({gap} AS BIGINT) * CAST({gap} AS BIGINT))) AS BIGINT) AS lb
  FROM qs q, dd JOIN grid g ON g.bucket = {axis("q.v[x[1]]")} * 32 + {axis("q.v[x[2]]")} JOIN box b ON b.cid = g.cid),
 pr AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY lb, cid) AS INTEGER) AS probe_rk FROM cd QUALIFY probe_rk <= 16)"""
 
@@ -117,6 +150,8 @@ def oracle_sql() -> dict[str, str]:
     limit = f"[{', '.join(f'{t}::BIGINT' for t in FAST_T)}]"
     probe = lambda n: f"{search()}, {passed(n, 'vt')} SELECT qid, cnt, worst FROM vt"
     pairs = f"{search('ref_id % 10 = 0', False)}, {passed(1, 'fa')}, {passed(16, 'fu')}, pa AS MATERIALIZED (SELECT fa.qid, fa.cnt AS fast, fa.worst, fu.cnt AS full_cnt FROM fa JOIN fu USING (qid))"
+    ranks = f"""l AS (SELECT fast, count(*) AS n, list(worst ORDER BY worst) AS w FROM pa WHERE fast <> full_cnt GROUP BY fast)
+SELECT k.fast, coalesce(n, 0) AS n, w[n // 10 + 1] AS p10, w[n // 2 + 1] AS p50, w[n * 9 // 10 + 1] AS p90, coalesce(w[n // 10 + 1], {NEVER}) AS fast_t FROM (SELECT CAST(unnest(range(0, 6)) AS INTEGER) AS fast) k LEFT JOIN l USING (fast)"""
     return {
         "q_quantize": f"WITH {EMB} SELECT ref_id, fraud, {TXT.format('v')} AS v FROM emb",
         "q_features": features,
@@ -125,7 +160,7 @@ def oracle_sql() -> dict[str, str]:
         "q_mcc_lookup": f"SELECT event_id AS ref_id, {mcc} AS mcc, {risk} AS risk_bp FROM events",
         "q_known_merchant": f"WITH {TXN} SELECT ref_id, CAST(v[12] = 10000 AS INTEGER) AS unknown FROM txn",
         "q_exact_knn": f"WITH {EMB}, {exact} SELECT qid, CAST(rk AS INTEGER) AS rk, ref_id, dist, fraud FROM nn",
-        "q_exact_score": f"WITH {TXN}, {near('txn', 'q.ref_id % 50 = 0', 'r.ref_id % 10 <> 0', False)}, {voted('nn', 'SELECT ref_id FROM txn WHERE ref_id % 50 = 0')} SELECT qid, cnt, worst, cnt < 3 AS approved, cnt / 5.0::DOUBLE AS fraud_score FROM vt",
+        "q_exact_score": f"WITH {TXN}, {near('txn', 'q.ref_id % 50 = 0', 'true', True)}, {voted('nn', 'SELECT ref_id FROM txn WHERE ref_id % 50 = 0')} SELECT qid, cnt, worst, cnt < 3 AS approved, cnt / 5.0::DOUBLE AS fraud_score FROM vt",
         "q_knn_float": f"WITH {EMB} {floats('CAST(r.e[i] AS DOUBLE)')}",
         "q_knn_asym": f"WITH {EMB} {floats('(r.v[i] / 10000.0::DOUBLE)')}",
         "q_dim_energy": f"WITH {EMB} SELECT CAST(d - 1 AS INTEGER) AS dim, CAST(sum(CAST(v[d] AS BIGINT) * v[d]) AS BIGINT) AS sumsq FROM emb, (SELECT unnest(range(1, 65)) AS d) GROUP BY d",
@@ -148,8 +183,12 @@ pr AS MATERIALIZED (SELECT q.ref_id AS qid, c.cid, row_number() OVER (PARTITION
 {members(True)}, {passed(4, "vt")} SELECT qid, cnt, worst FROM vt""",
         "q_recall": f"{search()}, {exact}, got AS (SELECT * FROM nb QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, ref_id) <= 5) SELECT nn.qid, count(got.ref_id) AS hits FROM nn LEFT JOIN got ON got.qid = nn.qid AND got.ref_id = nn.ref_id GROUP BY nn.qid",
         "q_tune_disagree": f"{pairs} SELECT count(*) AS total, count(*) FILTER (WHERE fast <> full_cnt) AS disagree FROM pa",
-        "q_tune_thresholds": f"""{pairs}, l AS (SELECT fast, count(*) AS n, list(worst ORDER BY worst) AS w FROM pa WHERE fast <> full_cnt GROUP BY fast)
-SELECT k.fast, coalesce(n, 0) AS n, w[n // 10 + 1] AS p10, w[n // 2 + 1] AS p50, w[n * 9 // 10 + 1] AS p90, coalesce(w[n // 10 + 1], {NEVER}) AS fast_t FROM (SELECT CAST(unnest(range(0, 6)) AS INTEGER) AS fast) k LEFT JOIN l USING (fast)""",
+        "q_tune_thresholds": f"""{pairs}, {ranks}""",
+        "q_tune_transactions": f"""WITH {indexed(TXN_EMB, 14, 256, 2)}, {cand("ref_id % 50 = 0", 14)}, {members(False)}, {passed(5, "fa")}, {passed(16, "fu")}, pa AS MATERIALIZED (SELECT fa.qid, fa.cnt AS fast, fa.worst, fu.cnt AS full_cnt FROM fa JOIN fu USING (qid)), {ranks}""",
+        "q_index_roundtrip": f"WITH {INDEX} SELECT cid, count(*) AS n, CAST(sum(ref_id) AS BIGINT) AS ids, CAST(sum(fraud) AS BIGINT) AS frauds FROM asg GROUP BY cid",
+        "q_stream_score": f"""WITH {indexed(TXN_EMB, 14)}, {cand("ref_id % 50 = 0", 14)}, {members(False)}, {passed(5, "fa")}, {passed(16, "fu")}, vt AS (SELECT fa.qid, CASE WHEN fa.found < 5 OR (fa.cnt > 0 AND fa.worst >= {limit}[fa.cnt + 1]) THEN fu.cnt ELSE fa.cnt END AS cnt FROM fa JOIN fu USING (qid))
+SELECT qid, cnt < 3 AS approved, cnt / 5.0::DOUBLE AS fraud_score, {body} AS body FROM vt""",
+        "q_features_float": f"WITH {TXN} SELECT event_id AS ref_id, array_to_string(list_transform([{', '.join(_FLOAT_DIMS)}], lambda x: CAST(round(CAST(CAST(x AS FLOAT) AS DOUBLE) * 100000) AS BIGINT)), ',') AS v FROM ev4",
         "q_eval_confusion": f"""{search()}, np AS (SELECT unnest([4, 6, 8, 10, 12, 16, 24]) AS nprobe),
 t AS (SELECT np.nprobe, nb.* FROM nb, np WHERE probe_rk <= least(nprobe, 16) QUALIFY row_number() OVER (PARTITION BY np.nprobe, qid ORDER BY dist, ref_id) <= 5),
 r AS (SELECT np.nprobe, q.ref_id, q.fraud = 0 AS approved, coalesce(sum(t.fraud), 0) < 3 AS ok FROM qs q CROSS JOIN np LEFT JOIN t ON t.nprobe = np.nprobe AND t.qid = q.ref_id GROUP BY ALL),

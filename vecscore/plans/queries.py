@@ -23,6 +23,10 @@ CLUSTERS = 16
 ROUNDS = 3
 #: Thresholds of the adaptive query: distances of these vectors are about 1.2e8.
 PARAMS = SearchParams(fast_t=(9223372036854775807, 110_000_000, 115_000_000, 120_000_000, 125_000_000, 130_000_000))
+#: One probe against sixteen, so that the passes of few clusters disagree.
+ONE = SearchParams(fast=1)
+#: The reference's real setting of probes on transactions.
+MANY, REAL = 256, SearchParams(fast=5, full=16)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -35,12 +39,12 @@ def built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ix.Index]:
     return e, ix.build(e, DIMS, CLUSTERS, ROUNDS, PARAMS)
 
 
-def searched(spark: SparkSession, sf_dir: str, queries: Callable[[DataFrame], DataFrame] = asked, not_self: bool = True) -> tuple[DataFrame, DataFrame, ix.Index]:
+def searched(spark: SparkSession, sf_dir: str, queries: Callable[[DataFrame], DataFrame] = asked, not_self: bool = True, p: SearchParams = PARAMS) -> tuple[DataFrame, DataFrame, ix.Index]:
     """Queries, their neighbours by probe, and the index."""
     e, index = built(spark, sf_dir)
     q = queries(e)
     probed = search.probes(search.candidates(q, index, PARAMS), PARAMS.full, PARAMS)
-    return q, cut(search.neighbours(q, probed, index, PARAMS, not_self)), index
+    return q, cut(search.neighbours(q, probed, index, p, not_self, bounded=True)), index
 
 
 def tenth(e: DataFrame) -> DataFrame:
@@ -59,6 +63,13 @@ def q_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions(spark, sf_dir).select("ref_id", "fraud", text("v"))
 
 
+def q_features_float(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features without quantization, as hundred-thousandths."""
+    p = payload.with_risk(payloads(spark, sf_dir), tables.default_risks(spark))
+    scaled = F.transform("v", lambda x: F.round(x.cast("double") * 100000).cast("bigint").cast("string"))
+    return payload.float_features(p, keep=["ref_id"]).select("ref_id", F.array_join(scaled, ",").alias("v"))
+
+
 def q_payload_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = payload.with_risk(payload.parse(bodies(spark, sf_dir)), tables.default_risks(spark))
     return payload.features(parsed, keep=["ref_id", "fraud"]).select("ref_id", "fraud", text("v"))
@@ -193,17 +204,26 @@ def q_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_tune_disagree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, near, _ = searched(spark, sf_dir, tenth, False)
-    return tuning.disagreement(tuning.fast_and_full(q, near, SearchParams(fast=1)))
+    q, near, _ = searched(spark, sf_dir, tenth, False, ONE)
+    return tuning.disagreement(tuning.fast_and_full(q, near, ONE))
 
 
 def q_tune_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, near, _ = searched(spark, sf_dir, tenth, False)
-    return tuning.thresholds(tuning.fast_and_full(q, near, SearchParams(fast=1)))
+    q, near, _ = searched(spark, sf_dir, tenth, False, ONE)
+    return tuning.thresholds(tuning.fast_and_full(q, near, ONE))
+
+
+def q_tune_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds of 14 features at 5 and 16 probes of 256 clusters; every fiftieth transaction asks."""
+    index = ix.build(transactions(spark, sf_dir), 14, MANY, 2, REAL)
+    q = asked(index.vectors.select("ref_id", "v", "fraud"))
+    probed = search.probes(search.candidates(q, index, REAL), REAL.full, REAL)
+    near = cut(search.neighbours(q, probed, index, REAL, False, bounded=True))
+    return tuning.thresholds(tuning.fast_and_full(q, near, REAL))
 
 
 def q_eval_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, near, _ = searched(spark, sf_dir)
+    q, near, _ = searched(spark, sf_dir, p=SearchParams(fast=min(tuning.NPROBES)))
     return tuning.confusion(q, near, q.select("qid", (F.col("fraud") == 0).alias("approved")), p=PARAMS)
 
 
@@ -225,8 +245,8 @@ def q_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a request: purchases score, views ask for readiness, others go astray."""
     kind = F.col("event_type")
-    method = F.when(kind == "purchase", "POST").otherwise("GET")
-    path = F.when(kind == "purchase", "/fraud-score").when(kind == "view", "/ready").otherwise(F.concat(F.lit("/"), kind))
+    method = F.when(kind.isin("purchase", "click"), "POST").otherwise("GET")
+    path = F.when(kind == "purchase", "/fraud-score").when(kind == "view", "/ready").when(kind == "click", "/fraud-scoreboard").when(kind == "signup", "/readyz").otherwise(F.concat(F.lit("/"), kind))
     return route(tables.table(spark, sf_dir, "events").select("event_id", method.alias("method"), path.alias("path"))).groupBy("target", "status").agg(F.count("*").alias("n"))
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.vector import quantize_vector
 from ..params import MCC_RISK, Norm
+from .checkpoint import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
-    """(ref_id, vector, label) of a JSON array (also gzipped). The place in the array is the id, taken right after the scan."""
+    """(ref_id, vector, label) of a JSON array (also gzipped), or of several files one behind the other. The place in the array is the id: numbers
+    are given right after the scan and written, so that they are the same for all that follows, then closed up over the parts."""
     rows = spark.read.schema("vector ARRAY<FLOAT>, label STRING").option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return rows.select(F.monotonically_increasing_id().alias("ref_id"), "vector", "label")
+    rows = cut(rows.select(F.monotonically_increasing_id().alias("at"), "vector", "label"))
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row for each part of the scan
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    first = F.broadcast(counts.select("part", F.coalesce(before, F.lit(0)).alias("first")))
+    return rows.withColumn("part", part).join(first, "part").select((F.col("first") + within).alias("ref_id"), "vector", "label")
+
+
+def labelled(references: DataFrame) -> DataFrame:
+    """(ref_id, v, fraud): quantized vectors; any label but 'fraud' is legitimate."""
+    return references.select("ref_id", quantize_vector(F.col("vector")).alias("v"), (F.coalesce(F.col("label"), F.lit("")) == "fraud").cast("int").alias("fraud"))
 
 
 def read_norm(spark: SparkSession, path: str) -> Norm:
@@ -54,4 +67,7 @@ def _inner(ddl: str) -> str:
 
 
 def write_csv(report: DataFrame, path: str) -> None:
-    report.write.option("header", True).csv(path)
+    """With a header; rates with eight decimals."""
+    rates = [f.name for f in report.schema.fields if f.dataType.simpleString() in ("float", "double")]
+    report = report.withColumns({c: F.format_string("%.8f", c) for c in rates}) if rates else report
+    report.coalesce(1).write.option("header", True).csv(path)  # a few rows

@@ -17,7 +17,7 @@ def score_bodies(bodies: DataFrame, index: Index, risks: DataFrame, p: SearchPar
     parsed = payload.with_risk(payload.parse(bodies), risks)
     queries = payload.features(parsed, keep=["qid"])
     probed = search.probes(search.candidates(queries, index, p), p.full, p)
-    out = search.adaptive(queries, search.neighbours(queries, probed, index, p), p)
+    out = search.adaptive(queries, search.neighbours(queries, probed, index, p, bounded=True), p)
     return out.select("qid", *verdict(F.col("cnt"), p.k), response_json(F.col("cnt"), p.k))
 
 
@@ -31,7 +31,7 @@ def score_stream(bodies: DataFrame, index: Index, risks: DataFrame, out: str, ch
 
 
 def route(requests: DataFrame) -> DataFrame:
-    """requests (method, path, ...) with status and target: the scoring and readiness routes, else 404."""
-    post = (F.col("method") == "POST") & F.col("path").startswith("/fraud-score")
-    ready = (F.col("method") == "GET") & F.col("path").startswith("/ready")
+    """requests (method, path, ...) with status and target: the scoring and readiness routes, by their whole path, else 404."""
+    post = (F.col("method") == "POST") & (F.col("path") == "/fraud-score")
+    ready = (F.col("method") == "GET") & (F.col("path") == "/ready")
     return requests.withColumn("target", F.when(post, "score").when(ready, "ready").otherwise("none")).withColumn("status", F.when(post | ready, 200).otherwise(404))
