@@ -348,6 +348,53 @@ def test_language(spark):
     assert {x.lang_pred for x in language.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def grams(t):
+    b = t.translate(LOW).encode()
+    return {b[i : i + n] for n in language.SIZES for i in range(len(b) - n + 1)}
+
+
+@pytest.mark.parametrize("part", [9, 64, 1 << 21])
+def test_language_kernel(monkeypatch, part):
+    """Kernel values against intersections of n-gram sets, and decisions from them, for texts by themselves and together."""
+    monkeypatch.setattr(language, "PART", part)
+    some = [t for t in texts(30, 5) if t]
+    langs = [["a", "b", "c"][i % 3] for i in range(len(some))]
+    m = language.Model(some, langs, vocab=500, landmarks=20)
+    sets = [grams(t) for t in some]
+    slot = {g: int(language._slots(np.frombuffer(g, np.uint8), len(g))[0]) for g in set().union(*sets)}
+    own = [{m.table[slot[g]] for g in s} - {-1} for s in sets]
+    count = sorted(((-sum(s in {slot[g] for g in x} for x in sets), s) for s in set(slot.values())))[:500]
+    assert {s for _, s in count} == set(np.flatnonzero(m.table >= 0).tolist())
+    data, offs = common.utf8(pa.array(some, pa.large_string()))
+    x = np.concatenate([language.traits(d, o, m.table, m.width) for _, _, d, o in language._pieces(data, offs)])
+    assert [set(np.flatnonzero(r).tolist()) for r in x] == own
+    marks = [set(np.flatnonzero(c).tolist()) for c in m.z.T]
+    want = [[len(s & z) / max(1, len(s)) ** 0.5 / max(1, len(z)) ** 0.5 for z in marks] for s in own]
+    assert np.allclose(m.kernel(x), want, atol=1e-5) and all(z in own for z in marks)
+    assert np.array_equal(language.has_letter(data, offs), [any(c.isalpha() for c in t) for t in some])
+
+
+def test_language_ties_repeats_and_other_columns(spark):
+    same = [(i % 40, "tie text", ["b", "a"][i % 2]) for i in range(400)]  # each id has both languages' share of one text
+    df = spark.createDataFrame([*same, (None, "tie text", "a"), (7, "other words", "b"), (7, "other words", "a")], "doc_id long, text string, lang string")
+    for c in ("score", "held_out", "lang_pred", "__n", "__k", "n", "x"):
+        df = df.withColumn(c, F.lit(c))
+    one, two = (sorted(map(repr, language.identify(d).collect())) for d in (df, df.repartition(7, "text", "lang").orderBy(F.rand(3))))
+    assert one == two and len(one) == 403 and language.identify(df).columns == ["doc_id", "held_out", "lang_pred", "score"]
+    assert len({x.split("lang_pred=")[1] for x in one if "lang_pred" in x}) <= 2
+    ids = language.least(df.select("doc_id", "lang"), "lang", 5, 1).collect()
+    assert len(ids) == len(set(ids)) == 10
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGS", 5)
+    monkeypatch.setattr(language, "SAMPLE", 20)
+    df = spark.createDataFrame([(i, f"text {i} of", f"l{i % 30 if i < 900 else 3}") for i in range(1200)], "doc_id long, text string, lang string")
+    got, langs = language.sample(df, F.lit(True))
+    assert len(got) == 20 and len(set(langs)) == 5 and "l3" in langs
+    assert len(language.Model([f"t {i}" for i in range(200)], [f"l{i}" for i in range(200)]).z_norm) == 200  # a landmark for each
+
+
 # --- lines
 
 
@@ -453,9 +500,26 @@ def test_pieces_of_slices_and_small_cache(vocabulary, monkeypatch):
     sp = sentencepiece.SentencePieceProcessor(model_file=str(pieces.MODEL))
     monkeypatch.setattr(pieces, "SLICE", 50)
     monkeypatch.setattr(pieces, "KEEP", 30)
+    monkeypatch.setattr(pieces, "BLOCK", 7)
     enc = pieces.Encoder(vocabulary)
-    for t in texts(20, 9)[len(ODD) :] + ["  two  spaces   three ", "x" * 300, "   "]:
-        assert enc.encode([t])[0].tolist() == sp.encode(t)
+    r = random.Random(4)
+    joined = ["".join(r.choice(["the", "ing", "漢", "字", "é", "\x00", "🙂", "0", "ab", "straße", "="]) for _ in range(200)) for _ in range(20)]
+    for long in (1, 3, 64, 1 << 14):  # words walked in parts of every size
+        monkeypatch.setattr(pieces, "LONG", long)
+        for t in [*texts(20, 9)[len(ODD) :], *joined, "  two  spaces   three ", "x" * 300, "   ", " " * 200 + "end"]:
+            ids = enc.encode([t])[0]
+            assert ids.tolist() == sp.encode(t) and vocabulary.decode(ids) == t
+
+
+def test_pieces_repeated_and_empty(spark, vocabulary):
+    rows = [(1, "same words"), (1, "same words"), (None, "same words"), (1, "other"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("piece_ids", F.lit("x")).withColumn("decoded", F.lit("y"))
+    out = pieces.encode(df, keep=["doc_id", "decoded", "piece_ids"])
+    assert out.columns == ["doc_id", "decoded", "piece_ids", "n_pieces"]
+    got = pieces.decode(out).collect()
+    want = {t: vocabulary.encode_words([" " + t])[" " + t] for _, t in rows if t}
+    assert sorted((r.doc_id or 0, r.decoded, tuple(r.piece_ids)) for r in got) == sorted((i or 0, t or "", want.get(t, ())) for i, t in rows)
+    assert pieces.decode(pieces.encode(df.limit(0))).count() == 0 and pieces.encode(df.limit(0), digest=True).count() == 0
 
 
 # --- sharding
@@ -646,3 +710,44 @@ def test_toxicity(spark):
     assert right >= 0.93 * len(held) and all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in got.values())
     assert toxicity.fit(docs, marks.where("toxic = 1")) is None
     assert {x.predicted for x in toxicity.score(docs, None).collect()} == {0} and toxicity.score(docs.limit(0), model).count() == 0
+
+
+def naive_maxima(m, t):
+    """Maxima of each filter over every window of the embeddings, zero beyond the end, by plain loops."""
+    word, _ = toxicity.buckets(*common.utf8(pa.array([t], pa.large_string())))
+    emb = [m.emb[m.row[w]].sum(axis=0) for w in word]
+    return [max((sum(emb[i + j] @ m.conv[k][j][:, f] for j in range(w) if i + j < len(emb)) for i in range(len(emb))), default=0.0) for k, w in enumerate(toxicity.WIDTHS) for f in range(toxicity.FILTERS)]
+
+
+def test_toxicity_forward_pass(monkeypatch):
+    """Maxima, logits and languages against plain loops: texts together, alone, and in small parts."""
+    some = [t or "" for t in texts(40, 8)]
+    m = toxicity.Model(some, [i % 3 == 0 for i in range(len(some))], [["a", "b"][i % 2] for i in range(len(some))], epochs=1)
+    best = np.array([naive_maxima(m, t) for t in some])
+    want = np.maximum(best + m.bias, 0) @ m.top + m.free
+    data, offs = common.utf8(pa.array(some, pa.large_string()))
+    word, first = toxicity.buckets(data, offs)
+    logit, lang = m.logits(m.row[word], first)
+    assert np.allclose(logit, want, atol=1e-4)
+    pooled, at = m._pool(m.row[word], first)
+    assert np.allclose(pooled, best, atol=1e-6) and all((at[i] >= 0).all() == (first[i + 1] > first[i]) for i in range(len(some)))
+    for size in (1, 40, 300):
+        monkeypatch.setattr(toxicity, "SCORE_BYTES", size)
+        for i, t in enumerate(some):
+            z, tongue = m.long_logits(np.frombuffer(t.encode(), np.uint8))
+            assert np.allclose(z, logit[i], atol=1e-5) and tongue[0] == lang[i], (size, i)
+
+
+def test_toxicity_ties_repeats_and_other_columns(spark):
+    rows = [(i % 50, ["fine words here", "idiot words here"][i % 2], "en") for i in range(300)] + [(None, "idiot", None), (3, "another text", "fr"), (3, None, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for c in ("predicted", "toxic", "x", "__n", "__k"):
+        df = df.withColumn(c, F.lit(c))
+    marks = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(4, 1), (4, 0), (None, 1), (9, None), (8, 7)], "doc_id long, toxic int").withColumn("text", F.lit("t"))
+    assert len(toxicity.sample(df, marks, F.lit(True))) == 50 and {t for t, y, _ in toxicity.sample(df, marks, F.col("doc_id") == 4)} == {"fine words here"}
+    assert [y for _, y, _ in toxicity.sample(df, marks, F.col("doc_id") == 4)] == [1]
+    one, two = (sorted(map(repr, toxicity.score(d, toxicity.fit(d, marks)).collect())) for d in (df, df.orderBy(F.rand(3))))
+    assert one == two and len(one) == 303
+    out = toxicity.score(df, toxicity.fit(df, marks))
+    assert out.columns == ["doc_id", "text", "lang", "toxic", "x", "__n", "__k", "score", "predicted"]
+    assert out.groupBy("text").agg(F.countDistinct("score").alias("n")).where("n > 1").count() == 0

@@ -6,12 +6,18 @@ Nyström landmarks Z: with K their kernel matrix, a text's features are k(x, Z)
 kernel ridge regression on the sample gives a weight vector for each language. Scoring is then two matrix
 products for a batch: presence by landmarks, kernel values by K**-1/2 times weights.
 
-The model is fitted on at most `per_lang` rows of each language (texts of up to `fit_bytes` bytes, those with
-the least hashes of their ids), its vocabulary are the `vocab` n-grams that most sample texts have; every
-text is scored whole. Presence matrices are made for as many rows as fit `ROWS` at a time.
-
-Null texts and texts without a letter are `und` with score 0. Repeated rows are scored alike. If no row can
-be learned from, every text is `und`.
+The model is fitted on a bounded sample: of each language at most `per_lang` rows, and of all together at most
+`SAMPLE` (an equal share for each; beyond `LANGS` languages those with the most ids, equal ones by name, and the
+others are never predicted), texts of up to `fit_bytes` bytes, those with the least hashes of their ids. Every
+language learned has a landmark. The vocabulary are the `vocab` n-grams that most sample texts have, equal ones by
+slot. Every text is scored whole: presence matrices are made for as many rows as fit `ROWS` at a time, and a long text
+is taken in parts of `PART` bytes that share the three bytes an n-gram can lie over.
+
+Null texts and texts without a letter are `und` with score 0. Rows are scored by their text alone, so repeated rows are
+scored alike, and of equal scores the first language by name is taken. An id repeated with several texts or languages
+is learned from once, with the least language and then the least text; a null id is never learned from. If no row can be
+learned from, every text is `und`; an empty table gives an empty result. Other columns of the input, whatever their
+names, aren't in the result.
 """
 
 from __future__ import annotations
@@ -24,11 +30,14 @@ from pyspark.sql import functions as F
 from .common import LOWER, chunks, text_column, utf8
 
 PER_LANG = 300
-FIT_BYTES = 1 << 16
+SAMPLE = 4800
+LANGS = 512
+FIT_BYTES = 1 << 14
 VOCAB = 8192
 LANDMARKS = 128
 RIDGE = 1e-2
 ROWS = 256
+PART = 1 << 21
 SIZES = (1, 2, 3, 4)
 _BITS = 20
 SHARPNESS = 4.0
@@ -51,7 +60,7 @@ def _slots(d: np.ndarray, n: int) -> np.ndarray:
 
 
 def presence(d: np.ndarray, offs: np.ndarray, table: np.ndarray, width: int) -> np.ndarray:
-    """rows by width: 1 where a text has an n-gram; table maps slots to columns (-1: none)."""
+    """rows by width: 1 where a text has an n-gram; table maps slots to columns (-1: none). d is lower-cased."""
     rows = len(offs) - 1
     x = np.zeros(rows * width + 1, np.float32)  # the last cell takes what isn't in the vocabulary
     base = np.repeat(np.arange(rows, dtype=np.int64) * width, np.diff(offs))
@@ -66,12 +75,29 @@ def presence(d: np.ndarray, offs: np.ndarray, table: np.ndarray, width: int) ->
     return x[:-1].reshape(rows, width)
 
 
+def long_parts(d: np.ndarray):
+    """Parts of one text that share what an n-gram can lie over, lower-cased."""
+    over = max(SIZES) - 1
+    for at in range(0, max(1, len(d) - over), PART):
+        yield LOWER[d[at : at + PART + over]]
+
+
 def _pieces(data: np.ndarray, offs: np.ndarray):
-    """Row ranges of bounded bytes and rows."""
-    for i, j in chunks(offs):
+    """Row ranges of bounded rows and bytes (but a long text stands alone)."""
+    for i, j in chunks(offs, PART):
         for a in range(i, j, ROWS):
             b = min(j, a + ROWS)
-            yield a, b, LOWER[data[offs[a] : offs[b]]], offs[a : b + 1] - offs[a]
+            yield a, b, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+
+
+def traits(d: np.ndarray, offs: np.ndarray, table: np.ndarray, width: int) -> np.ndarray:
+    """presence() of texts as they are, a long one by parts."""
+    if len(offs) > 2 or len(d) <= PART:
+        return presence(LOWER[d], offs, table, width)
+    x = np.zeros((1, width), np.float32)
+    for part in long_parts(d):
+        np.maximum(x, presence(part, np.array([0, len(part)]), table, width), out=x)
+    return x
 
 
 class Model:
@@ -79,6 +105,7 @@ class Model:
 
     def __init__(self, texts: list[str], langs: list[str], vocab: int = VOCAB, landmarks: int = LANDMARKS, ridge: float = RIDGE):
         self.langs = sorted(set(langs))
+        landmarks = max(landmarks, len(self.langs))
         col = pa.array(texts, pa.large_string())
         data, offs = utf8(col)
         seen = np.zeros(1 << _BITS, np.int64)
@@ -90,7 +117,7 @@ class Model:
         self.width = len(top)
         self.table = np.full(1 << _BITS, -1, np.int32)
         self.table[top] = np.arange(len(top))
-        x = np.concatenate([presence(d, o, self.table, self.width) for _, _, d, o in _pieces(data, offs)])
+        x = np.concatenate([traits(d, o, self.table, self.width) for _, _, d, o in _pieces(data, offs)])
         y = np.array([self.langs.index(v) for v in langs])
         turn = np.zeros(len(y), np.int64)  # landmarks: the languages in turn
         for c in range(len(self.langs)):
@@ -121,32 +148,43 @@ class Model:
 
 
 def has_letter(d: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """d is lower-cased."""
-    count = np.concatenate([[0], np.cumsum((d >= 97) & (d <= 122))])
-    out = count[offs[1:]] > count[offs[:-1]]
-    for r in np.flatnonzero(~out):
-        part = d[offs[r] : offs[r + 1]]
-        if len(part) and part.max() > 127:
-            out[r] = any(c.isalpha() for c in part.tobytes().decode())
+    """Whether each text has a letter; looked at in parts of PART bytes that cut no character."""
+    out = np.zeros(len(offs) - 1, bool)
+    for r in range(len(out)):
+        at, end = int(offs[r]), int(offs[r + 1])
+        while at < end and not out[r]:
+            to = min(end, at + PART)
+            while to < end and d[to] & 0xC0 == 0x80:
+                to -= 1
+            part = d[at:to]
+            low = part | 0x20
+            out[r] = bool(((low >= 97) & (low <= 122) & (part < 128)).any()) or part.max() > 127 and any(c.isalpha() for c in part.tobytes().decode())
+            at = to
     return out
 
 
-def least(rows: DataFrame, by: str, most: int, seed: int) -> DataFrame:
-    """Of each group of (doc_id, by) the `most` rows of least hash. Groups are counted and thinned by another hash to about four times
-    as many rows before they are ranked, so that the ranking doesn't grow with the input."""
-    n = rows.groupBy(by).agg(F.count("*").alias("__n"))
-    thin = rows.join(F.broadcast(n), by).where(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.greatest(F.lit(1), F.floor(F.col("__n") / (4 * most)))) == 0)
+def least(rows: DataFrame, by: str, most: int | Column, seed: int) -> DataFrame:
+    """Of each group of (doc_id, by) the `most` ids of least hash, each once. Groups' ids are counted and thinned by another hash to
+    about four times as many before they are ranked, so that the ranking doesn't grow with the input; rows that repeat an id
+    meet before the ranking, in partial aggregates."""
+    most = most if isinstance(most, Column) else F.lit(most)
+    n = rows.groupBy(by).agg(F.approx_count_distinct("doc_id", 0.02).alias("__n"))
+    step = F.greatest(F.lit(1), F.floor(F.col("__n") / (4 * most)))
+    thin = rows.join(F.broadcast(n), by).where(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), step) == 0).select("doc_id", by).distinct()
     order = Window.partitionBy(by).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
     return thin.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= most).select("doc_id", by)
 
 
 def sample(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, fit_bytes: int = FIT_BYTES) -> tuple[list[str], list[str]]:
-    """Texts and languages of the rows to learn from: ids first, by a window over ids alone, then their texts."""
+    """Texts and languages of the rows to learn from: languages first, then ids, by a window over ids alone, then their texts."""
     src = docs.select("doc_id", "lang", "text").where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= fit_bytes))
-    ids = least(src.select("doc_id", "lang"), "lang", per_lang, 5)
-    rows = src.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select("doc_id", "lang", "text").dropDuplicates(["doc_id"]).collect()  # per_lang rows a language at most
+    names = [r[0] for r in src.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()]
+    if not names:
+        return [], []
+    ids = least(src.where(F.col("lang").isin(names)).select("doc_id", "lang"), "lang", min(per_lang, max(1, SAMPLE // len(names))), 5)
+    rows = src.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x")).collect()  # SAMPLE rows at most
     rows.sort(key=lambda r: str(r[0]))
-    return [r[2] for r in rows], [r[1] for r in rows]
+    return [r[1][1] for r in rows], [r[1][0] for r in rows]
 
 
 def _score(bc):
@@ -159,7 +197,7 @@ def _score(bc):
             for a, b, d, o in _pieces(data, offs):
                 ok = has_letter(d, o)
                 if m is not None and ok.any():
-                    best, p = m.decide(presence(d, o, m.table, m.width))
+                    best, p = m.decide(traits(d, o, m.table, m.width))
                     lang[a:b][ok] = np.array(m.langs, object)[best[ok]]
                     score[a:b][ok] = p[ok]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])

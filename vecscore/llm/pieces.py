@@ -16,14 +16,20 @@ A character that is no piece takes part in no merge and is written as byte piece
 Vocabulary and scores are read from the model file by the driver and broadcast (bounded by the model); the
 model is never trained or changed. Known words are kept between batches, `KEEP` at most.
 
+Long texts are taken in parts of `SLICE` characters, cut before runs of spaces. A word of over `LONG` characters (no blank in
+it) is walked by itself, `LONG` characters at a time: the pieces up to the last place that all open segmentations
+share are settled and written out, and the walk goes on from there, so that it holds what is still open only.
+
 Null and empty texts have no pieces and decode to an empty text. U+2581 in a text decodes as a space; all
-else round-trips.
+else round-trips. Rows are encoded by their text alone, so repeated rows get the same pieces; of pairs with equal scores the
+leftmost is merged. An empty table gives an empty result. Result columns replace input columns of their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable
 from itertools import chain
 from pathlib import Path
@@ -36,8 +42,10 @@ MODEL = Path("/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 KEEP = 200_000
 SLICE = 1 << 20
+LONG = 1 << 14
 WORD = re.compile(r" +[^ ]*|[^ ]+")
 PAIRS = 2_000_000
+BLOCK = 1 << 16
 
 
 class Vocabulary:
@@ -95,9 +103,43 @@ class Vocabulary:
             known = self.stable[before, piece] = self.merge("".join(two)) == two
         return known
 
+    def _walk(self, word: str, begin: int, back: list, open_: list) -> None:
+        """Appends, for each character of word from begin on, (start, id) of the last piece before it ends, and the open (start, node)."""
+        root, stable, check = self.root, self.stable.get, self.is_stable
+        for at in range(begin, len(word)):
+            c = word[at]
+            nodes, last = [], None
+            for start, node in open_[at]:
+                node = node.get(c)
+                if node is not None:
+                    nodes.append((start, node))
+                    if last is None:
+                        piece = node.get("")
+                        if piece is not None:
+                            ok = stable((back[start][1], piece))
+                            if check(back[start][1], piece) if ok is None else ok:
+                                last = (start, piece)
+            node = root.get(c)
+            if node is not None:
+                nodes.append((at, node))
+                if last is None and "" in node:
+                    last = (at, node[""])
+            back.append(last or (at, -1))
+            open_.append(nodes)
+
+    def _trace(self, word: str, at: int, back: list) -> list[int]:
+        """Ids of the pieces of word[:at]."""
+        ids: list[int] = []
+        while at:
+            start, i = back[at]
+            ids += [i] if i >= 0 else [self.byte_ids[b] for b in reversed(word[start:at].encode())]
+            at = start
+        ids.reverse()
+        return ids
+
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Ids of each word; words are walked in sorted order."""
-        root, stable, check, out = self.root, self.stable.get, self.is_stable, {}
+        out = {}
         back, open_ = [(0, -1)], [[]]  # by depth: (start, id) of the last piece, (start, node) of the open nodes
         before = ""
         for word in sorted(words):
@@ -105,38 +147,39 @@ class Vocabulary:
             while depth < most and before[depth] == word[depth]:
                 depth += 1
             del back[depth + 1 :], open_[depth + 1 :]
-            for at in range(depth, len(word)):
-                c = word[at]
-                nodes, last = [], None
-                for start, node in open_[at]:
-                    node = node.get(c)
-                    if node is not None:
-                        nodes.append((start, node))
-                        if last is None:
-                            piece = node.get("")
-                            if piece is not None:
-                                ok = stable((back[start][1], piece))
-                                if check(back[start][1], piece) if ok is None else ok:
-                                    last = (start, piece)
-                node = root.get(c)
-                if node is not None:
-                    nodes.append((at, node))
-                    if last is None and "" in node:
-                        last = (at, node[""])
-                back.append(last or (at, -1))
-                open_.append(nodes)
-            ids: list[int] = []
-            at = len(word)
-            while at:
-                start, i = back[at]
-                ids += [i] if i >= 0 else [self.byte_ids[b] for b in reversed(word[start:at].encode())]
-                at = start
-            out[word] = tuple(reversed(ids))
+            self._walk(word, depth, back, open_)
+            out[word] = tuple(self._trace(word, len(word), back))
             before = word
         return out
 
+    def encode_long(self, word: str) -> array:
+        """Ids of one word, in parts: what every open segmentation begins with is settled."""
+        out = array("i")
+        back, open_, part = [(0, -1)], [[]], ""
+        for at in range(0, len(word), LONG):
+            done = len(part)
+            part += word[at : at + LONG]
+            self._walk(part, done, back, open_)
+            end = len(part)
+            heads = {end, *(start for start, _ in open_[end])}  # pieces to come begin at one of these
+            while len(heads) > 1:
+                last = max(heads)
+                heads.remove(last)
+                heads.add(back[last][0])
+            (cut,) = heads
+            out.extend(self._trace(part, cut, back))
+            back = [(0, back[cut][1]), *((start - cut, i) for start, i in back[cut + 1 :])]
+            open_ = [[], *([(start - cut, node) for start, node in nodes] for nodes in open_[cut + 1 :])] if cut < end else [[]]
+            part = part[cut:]
+        out.extend(self._trace(part, len(part), back))
+        return out
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """What the ids spell, with the leading space; `BLOCK` ids at a time."""
+        return b"".join(b"".join(map(self.spell.__getitem__, ids[i : i + BLOCK].tolist())) for i in range(0, len(ids), BLOCK))
+
     def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.spell.__getitem__, ids))[1:].decode("utf-8", "replace")
+        return self.decode_bytes(np.asarray(ids, np.int32))[1:].decode("utf-8", "replace")
 
 
 def _slices(text: str):
@@ -151,22 +194,46 @@ def _slices(text: str):
         at = end
 
 
+class Known(dict):
+    """Ids of known words; words that aren't kept, long ones above all, are encoded when they are asked for."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.long = vocabulary.encode_long
+
+    def __missing__(self, word: str) -> array:
+        return self.long(word)
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.known = vocabulary, {}
+        self.v, self.known = vocabulary, Known(vocabulary)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        lists = [[WORD.findall(part) for part in _slices(t)] if t else [] for t in texts]
-        new = set(chain.from_iterable(chain.from_iterable(lists))) - self.known.keys()
+    def _learn(self, words: Iterable[str]) -> None:
+        """Makes all words but the long ones known."""
+        words = set(words)
+        new = words - self.known.keys()
         if len(self.known) + len(new) > KEEP:
-            new = set(chain.from_iterable(chain.from_iterable(lists)))
-            self.known = {}
-        self.known.update(self.v.encode_words(new))
-        get = self.known.__getitem__
-        for parts in lists:
-            out.append(np.fromiter(chain.from_iterable(map(get, chain.from_iterable(parts))), np.int32))
-        return out
+            new = words
+            self.known.clear()
+        self.known.update(self.v.encode_words(w for w in new if len(w) <= LONG))
+
+    def _ids(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int32)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; texts are to have about SLICE characters together, a longer one is taken in parts."""
+        lists = [WORD.findall(" " + t.replace(MARK, " ")) if t and len(t) <= SLICE else [] for t in texts]
+        self._learn(chain.from_iterable(lists))
+        return [self._ids(words) if len(t) <= SLICE else self._long(t) for t, words in zip(texts, lists, strict=True)]
+
+    def _long(self, text: str) -> np.ndarray:
+        ids = []
+        for part in _slices(text):
+            words = WORD.findall(part)
+            self._learn(words)
+            ids.append(self._ids(words))
+        return np.concatenate(ids)
 
 
 def _groups(texts: list[str | None]):
@@ -189,8 +256,8 @@ def _encode(bc, keep: list[str], text: str, digest: bool):
             for group in _groups(batch.column(batch.schema.get_field_index(text)).to_pylist()):
                 for t, x in zip(group, enc.encode(group), strict=True):
                     if digest:
-                        same.append(enc.v.decode(x.tolist()) == t.replace(MARK, " "))
-                        sha.append(hashlib.sha256(x.astype("<i4").tobytes()).hexdigest())
+                        same.append(enc.v.decode_bytes(x)[1:] == t.replace(MARK, " ").encode())
+                        sha.append(hashlib.sha256(np.ascontiguousarray(x, "<i4")).hexdigest())
                         ids.append(len(x))
                     else:
                         ids.append(x)
@@ -221,7 +288,7 @@ def _decode(bc, keep: list[str]):
         v = bc.value
         for batch in batches:
             cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            texts = [v.decode(x or ()) for x in batch.column(batch.schema.get_field_index("piece_ids")).to_pylist()]
+            texts = [v.decode(x.values.to_numpy(zero_copy_only=False) if x.is_valid else ()) for x in batch.column(batch.schema.get_field_index("piece_ids"))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string())], [*keep, "decoded"])
 
     return run
