@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vecscore.functions import payload
 from vecscore.functions.vector import axis, box_bound, float_box_bound, guarded_ratio, l2sq, quantize
 from vecscore.params import NEVER, SearchParams
+from vecscore.plans import queries
 from vecscore.sources.tables import default_risks
 
 
@@ -92,3 +93,13 @@ def test_float_features_honour_the_offset(spark):
     want = [0.005, 0.5, 0.05, 23 / 23, 2 / 6, 330 / 1440, 0.5, 0.01, 0.1, 1.0, 0.0, 0.0, 0.15, 0.01]
     assert got[0] == pytest.approx(want, abs=1e-6)
     assert np.isnan(got[1][2]) and got[1][3:6] == [0.0, 0.0, 0.0]
+
+
+def test_float_features_of_a_first_amount_of_zero(spark, tmp_path):
+    """0 over an average of 0 is NaN, which no integer holds: the query writes it as such, and all other places as ever."""
+    rows = [(0, "2024-01-01 00:00:00", 1, "click", 0.0), (1, "2024-01-01 01:00:00", 1, "view", 0.0), (2, "2024-01-01 02:00:00", 1, "view", 5.0), (3, "2024-01-01 03:00:00", 1, "view", 5.0), (4, "2024-01-01 00:00:00", 2, "error", 7.0)]
+    events = spark.createDataFrame([(*r, '{"k": 3}') for r in rows], "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.ref_id: r.v.split(",") for r in queries.q_features_float(spark, str(tmp_path)).collect()}
+    assert [got[i][2] for i in range(5)] == ["NaN", "NaN", "100000", "30000", "100000"]
+    assert all(len(v) == 14 and "NaN" not in v[:2] + v[3:] for v in got.values())
