@@ -2,11 +2,12 @@ import gzip
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vecscore.operators import index as ix
-from vecscore.operators import kmeans, knn, search, tuning
+from vecscore.operators import kernel, kmeans, knn, search, tuning
 from vecscore.params import NEVER, SearchParams
 from vecscore.plans import fixtures, queries
 from vecscore.sources import tables
@@ -47,6 +48,34 @@ def test_exact_knn(refs, arrays, block):
     assert got == {q: brute(v, q, drop=q) for q in range(0, len(v), 50)}
 
 
+@pytest.mark.parametrize("kind", ["near", "copies", "same", "far apart"])
+def test_boxes_leave_out_only_what_is_too_far(kind, monkeypatch):
+    """The same neighbours as by brute force, ties and repeated ids included, from a part of all distances."""
+    r = np.random.default_rng(4)
+    n, dims = 20_000, 6
+    v = {"near": r.integers(-9000, 9000, (60, dims))[r.integers(0, 60, n)] + r.integers(-300, 300, (n, dims)), "copies": r.integers(0, 3, (n, dims)) * 5000, "same": np.ones((n, dims), int), "far apart": r.integers(-10000, 10001, (n, dims))}[kind]
+    ids, fraud = r.permutation(n), r.integers(0, 2, n)
+    ids[:50] = ids[50]
+    cells = []
+    real = kernel.distances
+    monkeypatch.setattr(kernel, "distances", lambda a, b: cells.append(len(a) * len(b)) or real(a, b))
+    monkeypatch.setattr(knn, "PART_BYTES", 300_000, raising=False)
+    asked = r.choice(np.arange(51, n), 400, replace=False)
+    asked[0] = 50
+    rows = [pa.RecordBatch.from_arrays([pa.array(ids[i : i + 3000]), pa.array(v[i : i + 3000].tolist(), pa.list_(pa.int32())), pa.array(fraud[i : i + 3000].astype(np.int32))], ["ref_id", "v", "fraud"]) for i in range(0, n, 3000)]
+    bc = type("Sent", (), {"value": (ids[asked], v[asked].astype(np.float64))})
+    (out,) = knn._nearest(bc, 5, True, False)(iter(rows))
+    got: dict = {}
+    for q, d, i, f in sorted(zip(*(c.to_pylist() for c in out.columns), strict=True)):
+        got.setdefault(q, []).append((d, i, f))
+    for q in asked:
+        d = ((v - v[q]) ** 2).sum(axis=1)
+        other = np.flatnonzero(ids != ids[q])
+        o = other[np.lexsort((ids[other], d[other]))[:5]]
+        assert [x[:2] for x in got[ids[q]]] == list(zip(d[o].tolist(), ids[o].tolist(), strict=True))
+    assert kind == "far apart" or sum(cells) < n * len(asked) / 4
+
+
 def test_exact_score_searches_all_others(spark, sf):
     rows = fixtures.transactions(spark, sf).orderBy("ref_id").collect()
     ids, v, fraud = np.array([r.ref_id for r in rows]), np.array([r.v for r in rows], np.int64), np.array([r.fraud for r in rows])
