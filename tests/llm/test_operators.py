@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import ALNUM, LOW, ODD, PLAIN, crc, documents
-from vecscore.llm import common, language, lines, minhash, pieces, pii, quality, repeats, sharding, toxicity
+from vecscore.llm import common, language, lines, minhash, pieces, pii, quality, queries, repeats, sharding, toxicity
 from vecscore.llm.decontaminate import decontaminate
 from vecscore.llm.suffix_array import adjacent_common, big_endian_words, two_stage
 
@@ -562,6 +562,20 @@ def test_sharding_spreads_equal_rows(spark):
         assert sorted(r.slot for r in one if r.shard == s) == list(range(sum(r.shard == s for r in one)))
 
 
+def test_sharding_query_moves_whole_rows(spark, sf, monkeypatch):
+    """The query's rows carry all columns through the shuffle, and its digests are made of the texts that arrive."""
+    seen = []
+    real = sharding.materialize
+    monkeypatch.setattr(sharding, "materialize", lambda df: seen.append(df.schema.simpleString()) or real(df))
+    out = {r.doc_id: r for r in queries.op7_sharding(spark, sf).collect()}
+    columns = common.table(spark, sf, "documents").columns
+    assert any("rows:array" in x and all(f"{c}:" in x for c in columns) for x in seen)
+    import zlib
+
+    texts_ = {r.doc_id: (r.text or "").encode() for r in common.table(spark, sf, "documents").select("doc_id", "text").collect()}
+    assert {k: (len(t) + 1, zlib.crc32(t)) for k, t in texts_.items()} == {k: (r.size, r.text_crc32) for k, r in out.items()}
+
+
 def test_write_shards(docs, tmp_path):
     sharding.write_shards(sharding.shard_rows(docs, shards=3, payload=["doc_id", "text"]), f"{tmp_path}/s")
     assert sorted(p.name for p in tmp_path.glob("s/shard=*")) == ["shard=0", "shard=1", "shard=2"]

@@ -17,7 +17,7 @@ from .pieces import encode
 from .pii import KINDS, personal_data, span_list
 from .quality import quality
 from .repeats import repeated_spans
-from .sharding import shard_rows
+from .sharding import shard_rows, text_bytes, text_crc32
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +54,9 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shard_rows(table(spark, sf_dir, "documents"), payload=["doc_id"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    """All columns of every row go into the shards; size and checksum are those of the text that came there."""
+    out = shard_rows(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", (text_bytes(F.col("text")) + 1).alias("size"), text_crc32(F.col("text")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

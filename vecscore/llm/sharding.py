@@ -9,7 +9,7 @@ all hash alike: where there are more of them than a fraction of a bucket, they a
 the parts before) and their number is hashed too, in runs of that fraction, so a bucket's size holds for equal rows as well.
 Pass 2 sorts a bucket's rows (so that a retried task sees the same order), shuffles them by Spark's
 seeded Fisher-Yates `shuffle`, and numbers them; a bucket's first slot is the number of rows in the
-earlier buckets of its shard, from a table of one row for each bucket.
+earlier buckets of its shard, from a broadcast table of one row for each bucket.
 
 Nulls: a null text counts no bytes; a null id is placed as any other value. Repeated rows get slots of
 their own; the slots of rows are the same in every run, whatever the table's partitions, except that rows of one id and text that differ in other columns may swap theirs.
@@ -30,7 +30,7 @@ SHARDS = 8
 SEED = 7
 RESULT = ("size", "text_crc32", "shard", "slot", "grown_shard")
 BUCKET_ROWS = 20_000
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 8 << 20  # a task holds a few copies of its bucket
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -42,6 +42,10 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
 
 
+def text_crc32(text: Column) -> Column:
+    return F.crc32(F.coalesce(F.encode(text, "utf-8"), F.lit(b"")))
+
+
 def _spread(own: DataFrame, run: int) -> DataFrame:
     """own with `deal`, the hash by which a row is dealt: scatter, or for over `run` rows of one scatter that and the row's number among them div run."""
     many = materialize(own.groupBy("scatter").agg(F.count("*").alias("c")).where(F.col("c") > run).select("scatter"))
@@ -64,12 +68,12 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, doc_id:
     """The payload columns (all of docs, unless named) of every row with size (bytes of text plus 1), text_crc32, shard, slot, grown_shard."""
     payload = [c for c in (docs.columns if payload is None else payload) if c not in RESULT]
     own = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in payload)).alias("row"), (text_bytes(F.col(text)) + 1).alias("size"), F.crc32(F.coalesce(F.encode(F.col(text), "utf-8"), F.lit(b""))).alias("text_crc32"),
+        F.struct(*(F.col(f"`{c}`") for c in payload)).alias("row"), (text_bytes(F.col(text)) + 1).alias("size"), text_crc32(F.col(text)).alias("text_crc32"),
         shard_of(F.col(doc_id), shards, seed).alias("shard"), shard_of(F.col(doc_id), shards + 1, seed).alias("grown_shard"),
         F.xxhash64(F.lit(seed), F.lit("scatter"), F.col(doc_id).cast("string"), F.col(text)).alias("scatter"),
     )
     rows, size = docs.agg(F.count("*"), F.sum(text_bytes(F.col(text)) + 1)).first()
-    moved = size or 0 if text in payload else 0
+    moved = size or 0 if text in payload else 0  # a bucket's bytes are those of the texts that travel
     per_shard = max(1, math.ceil(rows / shards / bucket_rows), math.ceil(moved / shards / bucket_bytes))
     own = _spread(own, max(1, bucket_rows // 8))
     bucket = F.col("shard") * per_shard + F.pmod("deal", F.lit(per_shard))
@@ -80,7 +84,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, doc_id:
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sizes = shuffled.select("bucket", F.floor(F.col("bucket") / per_shard).alias("shard"), F.size("rows").cast("bigint").alias("n"))
     first = sizes.select("bucket", F.coalesce(before, F.lit(0)).alias("first"))
-    out = shuffled.join(first, "bucket").select("first", F.posexplode("rows").alias("at", "r"))
+    out = shuffled.join(F.broadcast(first), "bucket").select("first", F.posexplode("rows").alias("at", "r"))
     return out.select("r.row.*", "r.size", "r.text_crc32", "r.shard", (F.col("first") + F.col("at")).alias("slot"), "r.grown_shard")
 
 
