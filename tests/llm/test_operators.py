@@ -726,6 +726,32 @@ def test_toxicity(spark):
     assert {x.predicted for x in toxicity.score(docs, None).collect()} == {0} and toxicity.score(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("local", [3000, 0])
+def test_toxicity_learns_from_all_labelled_texts(spark, monkeypatch, local):
+    """Long texts as well as short ones, in the driver or in the cluster; the cluster's counts are those of all texts to train on."""
+    r = random.Random(8)
+    rows = []
+    for i in range(400):
+        words = [r.choice(["th", "er", "an", "ing"]) + r.choice(["th", "er", "an"]) for _ in range(3000 if i % 2 else 40)]
+        if i % 4 == 1:
+            words[r.randrange(len(words))] = "idiot"
+        rows.append((i, " ".join(words), ["en", "fr"][i // 2 % 3 == 0], int(i % 4 == 1)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(3, "doc_id")
+    monkeypatch.setattr(toxicity, "LOCAL_ROWS", local, raising=False)
+    m = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+    got = {x.doc_id: x.predicted for x in toxicity.score(df, m).collect()}
+    assert sum(got[i] == y for i, _, _, y in rows) >= 390
+
+
+def test_toxicity_pools_in_parts(monkeypatch):
+    some = [t or "" for t in texts(40, 8)]
+    m = toxicity.Model(some, [i % 3 == 0 for i in range(len(some))], ["a"] * len(some), epochs=1)
+    word, first = toxicity.buckets(*common.utf8(pa.array(some, pa.large_string())))
+    best, _ = m._pool(m.row[word], first)
+    for most in (1, 7, 1 << 16):
+        assert np.allclose(m.pool_parts(m.row[word], first, most)[0], best, atol=1e-5)
+
+
 def naive_maxima(m, t):
     """Maxima of each filter over every window of the embeddings, zero beyond the end, by plain loops."""
     word, _ = toxicity.buckets(*common.utf8(pa.array([t], pa.large_string())))

@@ -14,8 +14,10 @@ language from its words alone; on texts not trained on, each language with enoug
 the logit threshold of best (weighted) accuracy over both labels, drawn towards the threshold of all. The score is the
 logistic of the logit less the text's threshold, so 0.5 is the decision everywhere.
 
-The model is fitted on at most `per_label` labelled texts of each label (of up to `fit_bytes` bytes, least
-hashes of their ids); every text is scored whole, a long one in parts of `SCORE_BYTES` that share the words a window can
+The model is fitted on all labelled texts, whole. Up to `LOCAL_ROWS` of `LOCAL_BYTES` in all are fitted by the driver. More stay in the cluster: word
+counts, languages and thresholds come from counts over all of them, and in each epoch every part of the rows trains a copy of the model, the copies' mean being
+the next epoch's start. A part makes about `STEPS` steps an epoch however many rows it has; thresholds are then exact to 1/64 of a logit. Labels of languages
+that have under 10 held texts of a label are one class. Every text is scored whole, a long one in parts of `SCORE_BYTES` that share the words a window can
 lie over. A filter's first product with an embedding depends on the bucket alone, so scoring looks up products
 instead of multiplying.
 
@@ -28,13 +30,15 @@ columns of these names; all others stay as they are.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, ANYCASE, LOWER, chunks, mix, span_hashes, text_column, utf8, word_pieces, word_spans
-from .language import least
+from .common import ALNUM, ANYCASE, LOWER, chunks, materialize, mix, release, span_hashes, text_column, utf8, word_pieces, word_spans
 
 BITS = 20
 MIN_DOCS = 8
@@ -42,8 +46,9 @@ PRIOR = 2.0
 DIM = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-PER_LABEL = 1500
-FIT_BYTES = 1 << 14
+LOCAL_ROWS, LOCAL_BYTES = 3000, 1 << 24
+STEPS, MOST_PARTS = 35, 64
+BINS = 64
 EPOCHS = 8
 DECAY = 1e-4
 SEED = 3
@@ -85,10 +90,19 @@ class Model:
             n[own] += 1
             n1[own] += y[i]
         known = np.flatnonzero(n >= MIN_DOCS)
+        self._start(known, n[known], n1[known], y[~hold].sum(), (1 - y[~hold]).sum(), rng)
+        del n1, n
+        self._train(self.row[word], first, y, np.flatnonzero(~hold), epochs, rng)
+        self._languages(self.row[word], doc, langs, ~hold)
+        self._finish()
+        parts = [self.logits(self.row[word[first[i] : first[min(i + 64, len(y))]]], first[i : i + 65] - first[i]) for i in range(0, len(y), 64)]
+        self._calibrate(*(np.concatenate(x) for x in zip(*parts, strict=True)), y, hold)
+
+    def _start(self, known, n, n1, t1, t0, rng):
+        """Numbers of the known buckets and values before training, from texts (n) and toxic texts (n1) of each bucket and of all."""
         self.row = np.zeros(1 << BITS, np.int32)  # row 0: all other buckets
         self.row[known] = np.arange(1, len(known) + 1)
-        t1, t0 = y[~hold].sum(), (1 - y[~hold]).sum()
-        odds = np.log((n1[known] + PRIOR) / (t1 + 2 * PRIOR)) - np.log((n[known] - n1[known] + PRIOR) / (t0 + 2 * PRIOR))
+        odds = np.log((n1 + PRIOR) / (t1 + 2 * PRIOR)) - np.log((n - n1 + PRIOR) / (t0 + 2 * PRIOR))
         self.emb = np.zeros((len(known) + 1, DIM))
         self.emb[1:] = rng.normal(0, 0.05, (len(known), DIM))
         self.emb[1:, 0] = 0.25 * odds
@@ -98,57 +112,127 @@ class Model:
         self.bias = np.zeros(len(WIDTHS) * FILTERS)
         self.top = np.full(len(WIDTHS) * FILTERS, 0.3)
         self.free = -1.0
-        del n1, n
-        self._train(self.row[word], first, y, np.flatnonzero(~hold), epochs, rng)
-        self._languages(self.row[word], doc, langs, ~hold)
-        self._finish()
-        parts = [self.logits(self.row[word[first[i] : first[min(i + 64, len(y))]]], first[i : i + 65] - first[i]) for i in range(0, len(y), 64)]
-        self._calibrate(*(np.concatenate(x) for x in zip(*parts, strict=True)), y, hold)
 
     def _train(self, rows, first, y, docs, epochs, rng):
-        names = ["emb", "bias", "top", "free", *range(len(WIDTHS))]
-        get = lambda k: self.conv[k] if isinstance(k, int) else getattr(self, k)
-        m1, m2 = {k: np.zeros_like(np.asarray(get(k), float)) for k in names}, {k: np.zeros_like(np.asarray(get(k), float)) for k in names}
-        step = 0
+        state = self.moments()
         for _ in range(epochs):
             for part in np.array_split(rng.permutation(docs), max(1, len(docs) // 64)):
                 take = np.concatenate([np.arange(first[i], first[i + 1]) for i in part])
                 cut = np.concatenate([[0], np.cumsum([first[i + 1] - first[i] for i in part])])
-                best, at = self._pool(rows[take], cut)
-                z = best + self.bias
-                act = np.maximum(z, 0)
-                err = 1 / (1 + np.exp(-(act @ self.top + self.free))) - y[part]
-                err /= len(part)
-                g = {"top": err @ act + 1e-4 * self.top, "free": err.sum()}
-                dz = err[:, None] * self.top * (z > 0) * (at >= 0)
-                g["bias"] = dz.sum(axis=0)
-                g["emb"] = DECAY * self.emb
-                own = rows[take]
-                end = cut[1:]
-                for k, w in enumerate(WIDTHS):
-                    cols = slice(k * FILTERS, (k + 1) * FILTERS)
-                    g[k] = 1e-4 * self.conv[k]
-                    for j in range(w):
-                        p = at[:, cols] + j
-                        ok = (at[:, cols] >= 0) & (p < end[:, None])
-                        d = dz[:, cols] * ok
-                        if not len(own):
-                            continue
-                        r = own[np.clip(p, 0, len(own) - 1)] * ok[:, :, None]
-                        g[k][j] += np.einsum("bf,bfd->df", d, self.emb[r].sum(axis=2))
-                        back = (d[:, :, None] * self.conv[k][j].T[None]).reshape(-1, DIM)
-                        for c in range(PARTS):
-                            np.add.at(g["emb"], r[:, :, c].ravel(), back)
-                g["emb"][0] = 0
-                step += 1
-                for k in names:
-                    m1[k] = 0.9 * m1[k] + 0.1 * g[k]
-                    m2[k] = 0.99 * m2[k] + 0.01 * np.square(g[k])
-                    move = 0.01 * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)
-                    if isinstance(k, int):
-                        self.conv[k] = self.conv[k] - move
-                    else:
-                        setattr(self, k, get(k) - move)
+                g = self.gradient(rows[take], cut, y[part], *self._pool(rows[take], cut))
+                self.adam({k: x / len(part) for k, x in g.items()}, state)
+
+    NAMES = ("emb", "bias", "top", "free", *range(len(WIDTHS)))
+
+    def value(self, k):
+        return self.conv[k] if isinstance(k, int) else getattr(self, k)
+
+    def moments(self):
+        zero = lambda: {k: np.zeros_like(np.asarray(self.value(k))) for k in self.NAMES}
+        return {"m1": zero(), "m2": zero(), "step": 0}
+
+    def gradient(self, own, cut, y, best, at):
+        """Sums over the texts of the loss's gradients, from their words' rows, maxima and the words where these start."""
+        z = best + self.bias
+        act = np.maximum(z, 0)
+        err = 1 / (1 + np.exp(-(act @ self.top + self.free))) - y
+        g = {"top": err @ act, "free": err.sum()}
+        dz = err[:, None] * self.top * (z > 0) * (at >= 0)
+        g["bias"] = dz.sum(axis=0)
+        g["emb"] = np.zeros_like(self.emb)
+        end = cut[1:]
+        for k, w in enumerate(WIDTHS):
+            cols = slice(k * FILTERS, (k + 1) * FILTERS)
+            g[k] = np.zeros_like(self.conv[k])
+            for j in range(w):
+                p = at[:, cols] + j
+                ok = (at[:, cols] >= 0) & (p < end[:, None])
+                d = dz[:, cols] * ok
+                if not len(own):
+                    continue
+                r = own[np.clip(p, 0, len(own) - 1)] * ok[:, :, None]
+                g[k][j] += np.einsum("bf,bfd->df", d, self.emb[r].sum(axis=2))
+                back = (d[:, :, None] * self.conv[k][j].T[None]).reshape(-1, DIM)
+                for c in range(PARTS):
+                    np.add.at(g["emb"], r[:, :, c].ravel(), back)
+        return g
+
+    def adam(self, g, state):
+        """A step along the mean gradients g, which are used up."""
+        g["emb"] += g["emb"].dtype.type(DECAY) * self.emb
+        g["emb"][0] = 0
+        g["top"] = g["top"] + 1e-4 * self.top
+        state["step"] += 1
+        step, m1, m2 = state["step"], state["m1"], state["m2"]
+        for k in self.NAMES:
+            x = g[k] + 1e-4 * self.conv[k] if isinstance(k, int) else g[k]
+            m1[k] *= 0.9
+            m1[k] += 0.1 * x
+            m2[k] *= 0.99
+            m2[k] += 0.01 * np.square(x)
+            root = np.sqrt(m2[k] / (1 - 0.99**step))
+            root += 1e-8
+            move = m1[k] / root
+            move *= 0.01 / (1 - 0.9**step)
+            if isinstance(k, int):
+                self.conv[k] = self.conv[k] - move
+            else:
+                setattr(self, k, self.value(k) - move)
+
+    def copied(self) -> Model:
+        """Another model of the same values, embeddings as 32-bit floats; training puts new arrays in place of these."""
+        m = Model.__new__(Model)
+        m.__dict__.update(self.__dict__, conv=list(self.conv), emb=self.emb.astype(np.float32), free=np.array(float(self.free)))
+        return m
+
+    def pack(self) -> np.ndarray:
+        return np.concatenate([np.asarray(self.value(k), float).ravel() for k in self.NAMES])
+
+    def unpack(self, vals: np.ndarray) -> None:
+        at = 0
+        for k in self.NAMES:
+            old = np.asarray(self.value(k), float)
+            new = vals[at : at + old.size].reshape(old.shape)
+            at += old.size
+            if isinstance(k, int):
+                self.conv[k] = new
+            else:
+                setattr(self, k, new if old.ndim else float(new))
+
+    def pool_parts(self, rows, cut, most: int = 1 << 16):
+        """_pool() by one table of products, `most` words at a time."""
+        used = np.zeros(len(self.emb), bool)
+        used[rows] = True
+        number = np.cumsum(used, dtype=np.int32) - 1
+        own, filters = self.emb[used], np.hstack([self.conv[k][j] for k, w in enumerate(WIDTHS) for j in range(w)])
+        table = own.astype(np.float32) @ filters.astype(np.float32)  # of the rows that occur
+        n = len(cut) - 1
+        best, at = np.full((n, len(WIDTHS) * FILTERS), -np.inf), np.full((n, len(WIDTHS) * FILTERS), -1)
+        end = np.repeat(cut[1:], np.diff(cut))
+        for lo in range(0, len(rows), most):
+            hi = min(len(rows), lo + most)
+            near = number[rows[lo : hi + max(WIDTHS) - 1]]
+            got = table[near[:, 0]]
+            for part in range(1, PARTS):
+                got += table[near[:, part]]
+            docs, c = range(int(np.searchsorted(cut, lo, side="right")) - 1, int(np.searchsorted(cut, hi))), 0
+            for k, w in enumerate(WIDTHS):
+                out = got[: hi - lo, c : c + FILTERS].copy()
+                for j in range(1, w):
+                    v = got[j : j + hi - lo, c + j * FILTERS : c + (j + 1) * FILTERS]
+                    out[: len(v)] += v * (np.arange(lo + j, lo + j + len(v)) < end[lo : lo + len(v)])[:, None]
+                c += w * FILTERS
+                cols = slice(k * FILTERS, (k + 1) * FILTERS)
+                for i in docs:
+                    a, b = max(cut[i], lo) - lo, min(cut[i + 1], hi) - lo
+                    if a >= b:
+                        continue
+                    top = out[a:b].argmax(axis=0)
+                    val = out[a + top, np.arange(FILTERS)]
+                    more = val > best[i, cols]
+                    best[i, cols] = np.where(more, val, best[i, cols])
+                    at[i, cols] = np.where(more, lo + a + top, at[i, cols])
+        return np.where(at >= 0, best, 0), at
 
     def _pool(self, rows, cut):
         """Maxima over each text of every filter, and the words where they start (-1: a text without words)."""
@@ -183,6 +267,10 @@ class Model:
         for part in range(PARTS):
             for c in range(len(self.langs)):
                 count[:, c] += np.bincount(rows[ok & (code[doc] == c), part], minlength=len(count))
+        self._say(count)
+
+    def _say(self, count):
+        """Words' log probabilities by language, from counts of (row, language)."""
         self.say = np.log((count + 0.5) / (count.sum(axis=0) + 0.5 * len(count)))
         self.say[0] = 0
 
@@ -248,30 +336,38 @@ class Model:
         pool(*held, False)
         return self.finish(np.where(np.isfinite(best), best, 0), say)
 
-    def _calibrate(self, logit, lang, y, hold):
-        def best(z, t):
+    def _calibrate(self, logit, lang, y, hold, n=None):
+        """Thresholds from logits, languages and labels of the held texts; n: how many there are of each row."""
+        times = np.ones(len(y)) if n is None else n
+
+        def best(z, t, n):
             cuts = np.unique(z)
             cuts = np.concatenate([[cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1]])
-            if len(cuts) > 400:
-                cuts = np.quantile(cuts, np.linspace(0, 1, 400))
-            rate = [((z > c) & (t == 1)).sum() / max(1, (t == 1).sum()) + CLEAN * ((z <= c) & (t == 0)).sum() / max(1, (t == 0).sum()) for c in cuts]
+            bad, fine = n[t == 1].sum(), n[t == 0].sum()
+            o = np.argsort(z, kind="stable")
+            under = np.searchsorted(z[o], cuts, side="right")
+            low1, low0 = (np.concatenate([[0], np.cumsum((n * (t == x))[o])])[under] for x in (1, 0))
+            rate = (bad - low1) / max(1, bad) + CLEAN * low0 / max(1, fine)
             top = np.flatnonzero(np.array(rate) >= max(rate) - 1e-12)
             return float(cuts[top[len(top) // 2]])
 
-        whole = best(logit[hold], y[hold]) if hold.any() and 0 < y[hold].mean() < 1 else 0.0
+        whole = best(logit[hold], y[hold], times[hold]) if hold.any() and 0 < y[hold].mean() < 1 else 0.0
         self.cut = np.full(len(self.langs), whole)
         for c in range(len(self.langs)):
             own = hold & (lang == c)
-            n = min(int((y[own] == 1).sum()), int((y[own] == 0).sum()))
-            if n >= 10:
-                self.cut[c] = (n * best(logit[own], y[own]) + 50 * whole) / (n + 50)
+            least = min(int(times[own & (y == 1)].sum()), int(times[own & (y == 0)].sum()))
+            if least >= 10:
+                self.cut[c] = (least * best(logit[own], y[own], times[own]) + 50 * whole) / (least + 50)
 
-    def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    def raw(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """logits() of texts, whatever their length."""
         if len(offs) == 2 and len(data) > SCORE_BYTES:
-            logit, lang = self.long_logits(data)
-        else:
-            word, first = buckets(data, offs)
-            logit, lang = self.logits(self.row[word], first)
+            return self.long_logits(data)
+        word, first = buckets(data, offs)
+        return self.logits(self.row[word], first)
+
+    def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        logit, lang = self.raw(data, offs)
         return 1 / (1 + np.exp(-np.clip(logit - self.cut[lang], -30, 30)))
 
     def shrink(self) -> Model:
@@ -281,18 +377,178 @@ class Model:
         return self
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = PER_LABEL, fit_bytes: int = FIT_BYTES) -> list[tuple[str, int, str]]:
+def learned(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
+    """(doc_id, x: lang, text, toxic) of every labelled id to learn from."""
     marked = labels.where(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = least(marked, "toxic", per_label, 9)
-    src = docs.select("doc_id", F.col("lang") if "lang" in docs.columns else F.lit("").alias("lang"), "text").where(F.octet_length("text") <= fit_bytes)
-    rows = src.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text", "toxic")).alias("x")).collect()  # 2 * per_label rows at most
-    return [(r[1][1], r[1][2], r[1][0]) for r in sorted(rows, key=lambda r: str(r[0]))]
+    src = docs.select("doc_id", F.col("lang") if "lang" in docs.columns else F.lit("").alias("lang"), "text").where(F.col("text").isNotNull())
+    return src.join(marked, "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text", "toxic")).alias("x"))
+
+
+def _local(rows: DataFrame) -> list[tuple[str, int, str]]:
+    return [(r[1][1], r[1][2], r[1][0]) for r in sorted(rows.collect(), key=lambda r: str(r[0]))]
+
+
+def sample(docs: DataFrame, labels: DataFrame, learn: Column) -> list[tuple[str, int, str]]:
+    """All (text, label, lang) to learn from, for tables that fit the driver."""
+    return _local(learned(docs, labels, learn))
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Model | None:
+    rows = materialize(learned(docs, labels, F.lit(True) if learn is None else learn))
+    n, size, low, high = rows.agg(F.count("*"), F.sum(F.octet_length("x.text")), F.min("x.toxic"), F.max("x.toxic")).first()
+    if not n or low == high:
+        return None
+    if n <= LOCAL_ROWS and size <= LOCAL_BYTES:
+        texts, y, langs = zip(*_local(rows), strict=True)
+        return Model(list(texts), list(y), list(langs)).shrink()
+    return _fit_parts(rows, n)
+
+
+def _fit_parts(rows: DataFrame, n: int) -> Model:
+    """The model of rows that stay in the cluster; what comes to the driver is bounded by the buckets, languages and bins."""
+    spark = rows.sparkSession
+    sc = spark.sparkContext
+    hold = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(4)) == 0
+    rows = rows.select(hold.alias("hold"), F.coalesce("x.lang", F.lit("")).alias("lang"), F.col("x.toxic").cast("int").alias("toxic"), F.col("x.text").alias("text"))
+    tongues = rows.where("hold").groupBy("lang").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a >= 10 and b >= 10")
+    langs = [r[0] for r in tongues.orderBy("lang").select("lang").collect()]
+    code = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, v in enumerate(langs) for x in (v, k))), F.col("lang")), F.lit(len(langs))) if langs else F.lit(0)
+    rows = rows.select("hold", code.cast("int").alias("lang"), "toxic", "text")
+    train = rows.where("not hold")
+    if train.rdd.getNumPartitions() > MOST_PARTS:
+        train = train.coalesce(MOST_PARTS)
+    parts = train.rdd.getNumPartitions()
+    one = train.agg(F.count("*"), F.sum("toxic")).first()
+    m = Model.__new__(Model)
+    m.langs = [*langs, None]
+    sums = [f"l{c}" for c in range(len(m.langs))]
+    counted = materialize(train.mapInArrow(_count(len(m.langs)), f"bucket int, n long, n1 long, {', '.join(f'{c} long' for c in sums)}").groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("n", "n1", *sums))))
+    got = counted.where(F.col("n") >= MIN_DOCS).toPandas().sort_values("bucket")
+    total = counted.agg(*(F.sum(c) for c in sums)).first()
+    m._start(got["bucket"].to_numpy(), got["n"].to_numpy(), got["n1"].to_numpy(), float(one[1] or 0), float(one[0] - (one[1] or 0)), np.random.default_rng(SEED))
+    count = np.vstack([np.zeros(len(sums)), got[sums].to_numpy(np.float64)])
+    count[0] = np.array([float(x or 0) for x in total]) - count.sum(axis=0)
+    m._say(count)
+    batch = max(64, -(-one[0] // (max(1, parts) * STEPS)))
+    for _ in range(EPOCHS):
+        bc = sc.broadcast(m)
+        copies = train.mapInArrow(_epoch(bc, batch), "block int, part int, weight long, vals binary")
+        mean = copies.groupBy("block").applyInPandas(_mean, "block int, vals binary").collect()
+        if mean:
+            m.unpack(np.concatenate([np.frombuffer(r[1], np.float32) for r in sorted(mean)]).astype(np.float64))
+        bc.destroy()
+        del copies
+        release(spark)
+    m._finish()
+    bc = sc.broadcast(m)
+    seen = rows.where("hold").mapInArrow(_bins(bc), "lang int, toxic int, bin int, n long").groupBy("lang", "toxic", "bin").agg(F.sum("n")).collect()
+    at = np.array(sorted(tuple(r) for r in seen), np.float64).reshape(-1, 4)
+    m._calibrate((at[:, 2] + 0.5) / BINS, at[:, 0].astype(int), at[:, 1], np.ones(len(at), bool), at[:, 3])
+    return m.shrink()
+
+
+def _texts(batch: pa.RecordBatch):
+    """(first row, end, word buckets, first words) of parts of a batch; a long text is hashed in pieces."""
+    data, offs = utf8(text_column(batch, "text"))
+    for i, j in chunks(offs, SCORE_BYTES):
+        own, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        if j == i + 1 and len(own) > SCORE_BYTES:
+            word = np.concatenate([word_buckets(LOWER[d], s, e) for _, d, s, e in word_pieces(own, ANYCASE, 0, SCORE_BYTES)])
+            yield i, j, word, np.array([0, len(word)])
+        else:
+            yield i, j, *buckets(own, at)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_label: int = PER_LABEL) -> Model | None:
-    rows = sample(docs, labels, F.lit(True) if learn is None else learn, per_label)
-    texts, y, langs = ([r[k] for r in rows] for k in range(3))
-    return Model(texts, y, langs).shrink() if len(set(y)) == 2 else None
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
+def _count(langs: int):
+    """Texts, toxic texts and words by language of every bucket."""
+
+    def run(batches):
+        sums = np.zeros((2 + langs, 1 << BITS), np.int64)
+        for batch in batches:
+            y, lang = _column(batch, "toxic"), _column(batch, "lang")
+            for i, j, word, first in _texts(batch):
+                for k in range(i, j):
+                    all_ = word[first[k - i] : first[k - i + 1]].ravel()
+                    own, times = np.unique(all_, return_counts=True)
+                    sums[0, own] += 1
+                    sums[1, own] += y[k]
+                    sums[2 + lang[k], own] += times
+        some = np.flatnonzero(sums[0])
+        for at in range(0, len(some), 1 << 16):
+            own = some[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(x[own]) for x in sums)], ["bucket", "n", "n1", *(f"l{c}" for c in range(langs))])
+
+    return run
+
+
+BLOCK = 1 << 16
+
+
+def _over(g: dict, n: int) -> dict:
+    g["emb"] /= np.float32(n)
+    return {k: x if k == "emb" else x / n for k, x in g.items()}
+
+
+def _epoch(bc, batch: int):
+    """One pass over a part's rows from the common start; the copy's numbers in blocks."""
+
+    def run(batches):
+        m = bc.value.copied()
+        state, g, held, seen = m.moments(), None, 0, 0
+        for b in batches:
+            y = _column(b, "toxic").astype(np.float64)
+            for i, j, word, first in _texts(b):
+                for k in range(0, j - i, batch):  # a step never has more than twice the rows
+                    e = min(j - i, k + batch)
+                    own, cut = m.row[word[first[k] : first[e]]], first[k : e + 1] - first[k]
+                    part = m.gradient(own, cut, y[i + k : i + e], *m.pool_parts(own, cut))
+                    if g is None:
+                        g = part
+                    else:
+                        for name in g:
+                            g[name] += part[name]
+                    held += e - k
+                    seen += e - k
+                    if held >= batch:
+                        m.adam(_over(g, held), state)
+                        g, held = None, 0
+        if held:
+            m.adam(_over(g, held), state)
+        if seen:
+            vals, part = m.pack().astype(np.float32), TaskContext.get().partitionId()
+            for at in range(0, len(vals), BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([part], pa.int32()), pa.array([seen]), pa.array([vals[at : at + BLOCK].tobytes()], pa.binary())], ["block", "part", "weight", "vals"])
+
+    return run
+
+
+def _mean(copies):
+    copies = copies.sort_values("part")
+    total = sum(np.frombuffer(v, np.float32) * np.float64(w) for v, w in zip(copies["vals"], copies["weight"], strict=True))
+    return copies.head(1)[["block"]].assign(vals=[(total / copies["weight"].sum()).astype(np.float32).tobytes()])
+
+
+def _bins(bc):
+    """Logits of held rows, counted in bins."""
+
+    def run(batches):
+        m, seen = bc.value, Counter()
+        for batch in batches:
+            data, offs = utf8(text_column(batch, "text"))
+            y = _column(batch, "toxic")
+            for i, j in chunks(offs, SCORE_BYTES):
+                z, lang = m.raw(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                at = np.floor(np.clip(z, -1000, 1000) * BINS).astype(int)
+                seen.update(zip(lang.tolist(), y[i:j].tolist(), at.tolist(), strict=True))
+        if seen:
+            rows = [(*k, n) for k, n in seen.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k == 3 else pa.int32()) for k in range(4)], ["lang", "toxic", "bin", "n"])
+
+    return run
 
 
 def _score(bc, keep: list[str]):
