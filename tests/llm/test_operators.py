@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import random
+import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -778,6 +780,95 @@ def test_toxicity_forward_pass(monkeypatch):
             assert np.allclose(z, logit[i], atol=1e-5) and tongue[0] == lang[i], (size, i)
 
 
+@pytest.mark.parametrize("bits", [1, 17])
+def test_toxicity_hashes_distinct_words(monkeypatch, bits):
+    """A part's words are hashed to buckets once each (here: but for slots that several words share), scores and counts are those of all words."""
+    r = random.Random(5)
+    some = [" ".join(r.choice(["Fine", "words", "here", "and", "an", "idiot", "été"]) for _ in range(n)) for n in (400, 0, 1, 2, 300)] + ["", "x " * 500]
+    m = toxicity.Model(some, [i % 2 for i in range(len(some))], ["a", "b"] * 3 + ["a"], epochs=1)
+    data, offs = common.utf8(pa.array(some, pa.large_string()))
+    word, first = toxicity.buckets(data, offs)
+    want, tongue = m.logits(m.row[word], first)
+    hashed, plain = [], toxicity.word_buckets
+    monkeypatch.setattr(toxicity, "SLOT_BITS", bits, raising=False)
+    monkeypatch.setattr(toxicity, "word_buckets", lambda d, s, e: hashed.append(len(s)) or plain(d, s, e))
+    logit, lang = m.raw(data, offs)
+    assert np.allclose(logit, want, atol=1e-5) and (lang == tongue).all()
+    assert sum(hashed) <= (8 if bits == 17 else len(word))
+    batch = pa.record_batch({"text": pa.array(some, pa.large_string()), "toxic": pa.array([0] * len(some), pa.int32()), "lang": pa.array([0] * len(some), pa.int32())})
+    for size in (1 << 19, 50):  # with 50, texts longer than a part have several
+        monkeypatch.setattr(toxicity, "SCORE_BYTES", size)
+        got = pa.Table.from_batches(list(toxicity._count(1)([batch]))).to_pydict()
+        assert dict(zip(got["bucket"], got["l0"], strict=True)) == collections.Counter(word.ravel().tolist())
+        assert dict(zip(got["bucket"], got["n"], strict=True)) == collections.Counter(b for i in range(len(some)) for b in set(word[first[i] : first[i + 1]].ravel().tolist()))
+    assert all(len(x) == 0 for x in toxicity.word_ids(data[:0], first[:0], first[:0]))
+
+
+def test_toxicity_step(monkeypatch):
+    """Gradients against differences of the loss, by distinct words as by all; steps in parts against the whole formula."""
+    some = ["fine words here idiot here", "", "an idiot", "fine fine words and more words here", "x"] * 3
+    y = np.array([1.0, 0, 1, 0, 0] * 3)
+    monkeypatch.setattr(toxicity, "MIN_DOCS", 1)
+    m = toxicity.Model(some, y.astype(int).tolist(), ["a"] * 15, epochs=1)
+    word, ids, first = toxicity.distinct(*common.utf8(pa.array(some, pa.large_string())))
+    rows = m.row[word]
+
+    def loss():
+        best, _ = m._pool(rows[ids], first)
+        z = np.maximum(best + m.bias, 0) @ m.top + m.free
+        return (np.logaddexp(0, z) - y * z).sum()
+
+    g = m.gradient(rows[ids], first, y, *m._pool(rows[ids], first))
+    near = m.gradient(rows, first, y, *m._pool(rows[ids], first), ids)
+    assert all(np.allclose(g[k], near[k]) for k in m.NAMES)
+    twice = m.gradient(rows, first, y, *m._pool(rows[ids], first), ids, near)
+    assert all(np.allclose(2 * np.asarray(g[k]), twice[k]) for k in m.NAMES)
+    for at in np.argwhere(np.abs(g["emb"]) > 0.01)[::7]:
+        if at[0]:  # row 0 stays as it is
+            old, m.emb[tuple(at)] = m.emb[tuple(at)], m.emb[tuple(at)] + 1e-6
+            up = loss()
+            m.emb[tuple(at)] = old
+            assert abs((up - loss()) / 1e-6 - g["emb"][tuple(at)]) < 1e-3
+    state, emb, x = m.moments(), m.emb.copy(), g["emb"] / 15 + toxicity.DECAY * m.emb
+    monkeypatch.setattr(toxicity, "ADAM_ROWS", 3)
+    m.adam(g, state, 15)
+    x[0] = 0
+    want = emb - 0.01 * x / (np.abs(x) + 1e-8)  # a first step: both moments are those of x itself
+    assert np.allclose(m.emb, want) and not g["emb"].any()
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "string", "double"])
+def test_toxicity_likely_rows(spark, kind):
+    """The bitmap loses no labelled row and leaves out most others; ids whose equality is no equality of hashes all stay."""
+    docs = spark.range(40000).selectExpr(f"cast(id as {kind}) as doc_id", "'en' as lang", "concat('t', id) as text").union(spark.sql(f"select cast(null as {kind}), 'en', 'x'"))
+    marks = spark.range(-1000, 40000, 8).selectExpr(f"cast(id as {kind}) as doc_id", "0 as toxic").union(spark.sql(f"select cast(null as {kind}), 0"))
+    near = toxicity._likely(docs, marks)
+    assert near.columns == docs.columns and near.join(marks, "doc_id").count() == 5000
+    assert near.count() == 40001 if kind == "double" else near.count() < 5000 + 0.15 * 35000
+    assert toxicity.learned(docs, marks, F.lit(True)).count() == 5000
+    other = toxicity._likely(docs, marks.withColumn("doc_id", F.col("doc_id").cast("decimal(20,0)")))
+    assert other.count() == 40001
+    assert toxicity._likely(docs, marks.limit(0)).count() == (40001 if kind == "double" else 0)
+
+
+def test_toxicity_lets_shuffle_files_go(spark, monkeypatch):
+    """While a model is fitted, and no longer, a query's shuffle files go when it ends, without a call of the garbage collector."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString(" ")))
+    monkeypatch.setattr(common, "release", lambda spark: None)
+    monkeypatch.setattr(toxicity, "release", lambda spark: None)
+    monkeypatch.setattr(toxicity, "LOCAL_ROWS", 0)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(key), files()
+    docs = spark.createDataFrame([(i, "en", f"word{i} and {'idiot' if i % 3 == 0 else 'more'}") for i in range(90)], "doc_id long, lang string, text string").repartition(2)
+    keep = toxicity.fit(docs, docs.selectExpr("doc_id", "int(doc_id % 3 = 0) as toxic"))
+    for _ in range(100):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert keep is not None and files() <= before and spark.conf.get(key) == was
+
+
 def test_toxicity_ties_repeats_and_other_columns(spark):
     rows = [(i % 50, ["fine words here", "idiot words here"][i % 2], "en") for i in range(300)] + [(None, "idiot", None), (3, "another text", "fr"), (3, None, "fr")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -6,6 +6,7 @@ bounded size, so that the memory of a Python worker does not depend on the table
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import tempfile
 
@@ -232,6 +233,22 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def swept(spark: SparkSession):
+    """Shuffle files of a query made within go when it ends, not when Spark's cleaner finds that nothing refers to them (from Spark 4.1 on).
+    For queries that run once: a second run makes the files again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """The rows, written as Parquet to the shared checkpoint folder and read again: lineage ends here, and
     a lost executor costs no more than what reads them next. The files go when the session's JVM ends."""

@@ -17,9 +17,10 @@ logistic of the logit less the text's threshold, so 0.5 is the decision everywhe
 The model is fitted on all labelled texts, whole. Up to `LOCAL_ROWS` of `LOCAL_BYTES` in all are fitted by the driver. More stay in the cluster: word
 counts, languages and thresholds come from counts over all of them, and in each epoch every part of the rows trains a copy of the model, the copies' mean being
 the next epoch's start. A part makes about `STEPS` steps an epoch however many rows it has; thresholds are then exact to 1/64 of a logit. Labels of languages
-that have under 10 held texts of a label are one class. Every text is scored whole, a long one in parts of `SCORE_BYTES` that share the words a window can
-lie over. A filter's first product with an embedding depends on the bucket alone, so scoring looks up products
-instead of multiplying.
+that have under 10 held texts of a label are one class. Texts without a label are mostly kept out of the shuffle by a bitmap of the labelled ids, and a
+query's shuffle files go when it ends. Every text is scored whole, a long one in parts of `SCORE_BYTES` that share the words a window can
+lie over. Buckets, and products of embeddings and filters, are made once for each distinct word (by a 64-bit
+hash) of a part of the texts, and taken from there wherever the word occurs.
 
 Null and empty texts have no windows: all maxima are 0. Without both labels to learn from every score is 0. Rows are scored
 by their text alone, so repeated rows are scored alike; of equal word scores the first language by name is taken, of equal
@@ -37,8 +38,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
-from .common import ALNUM, ANYCASE, LOWER, chunks, materialize, mix, release, span_hashes, text_column, utf8, word_pieces, word_spans
+from .common import ALNUM, ANYCASE, LOWER, chunks, materialize, mix, release, span_hash, span_hashes, swept, text_column, utf8, word_pieces, word_spans
 
 BITS = 20
 MIN_DOCS = 8
@@ -53,6 +55,8 @@ EPOCHS = 8
 DECAY = 1e-4
 SEED = 3
 SCORE_BYTES = 1 << 19
+SLOT_BITS, MAP_BITS = 17, 28
+ADAM_ROWS = 2048
 #: Weight of the share of clean texts that are kept, against that of toxic texts caught, where thresholds are set.
 CLEAN = 3.0
 
@@ -74,6 +78,69 @@ def word_buckets(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return np.stack(cols, axis=1).astype(np.int32)
 
 
+def firsts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places that stand for all values of h, and for each value the number of the place with an equal one. A value that shares its
+    slot with another may stand for itself more than once."""
+    slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    stand = np.zeros(1 << SLOT_BITS, np.int32)
+    stand[slot] = np.arange(len(h), dtype=np.int32)
+    at = stand[slot]
+    other = np.flatnonzero(h[at] != h)
+    at[other] = other
+    return compact(at, len(h))
+
+
+def compact(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of ids (below n) that occur, ascending, and for each of ids its place among them."""
+    if n > 8 * len(ids):
+        return np.unique(ids, return_inverse=True)
+    there = np.zeros(n, bool)
+    there[ids] = True
+    number = np.cumsum(there, dtype=np.int32)
+    return np.flatnonzero(there), number[ids] - 1
+
+
+def word_ids(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """word_buckets() of the distinct words of d[s:e], and the number of every word among these."""
+    at, ids = firsts(span_hash(d, s, e))
+    s, size = s[at], (e - s)[at]
+    end = np.cumsum(size)
+    own = d[np.repeat(s - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+    return word_buckets(own, end - size, end), ids
+
+
+def distinct(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """buckets() by distinct words: their buckets, every word's number among them, and the first word of each text."""
+    d = LOWER[data]
+    s, e, first = word_spans(d, offs, ALNUM)
+    return *word_ids(d, s, e), first
+
+
+def sums(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows of each word."""
+    got = table.take(rows[:, 0], axis=0)
+    for part in range(1, PARTS):
+        got += table.take(rows[:, part], axis=0)
+    return got
+
+
+def windows(got: np.ndarray, ids: np.ndarray, ends: np.ndarray, n: int, widths=range(len(WIDTHS))) -> np.ndarray:
+    """Values of the filters (of these of WIDTHS) at the first n of the words `ids`, from the products of distinct words;
+    ends: where texts end, beyond which a window sees zeros."""
+    outs = []
+    for k in widths:
+        w, c = WIDTHS[k], sum(WIDTHS[:k]) * FILTERS
+        out = got[c : c + FILTERS].take(ids[:n], axis=1)
+        for j in range(1, w):
+            v = got[c + j * FILTERS : c + (j + 1) * FILTERS].take(ids[j : j + n], axis=1)
+            for q in range(1, j + 1):
+                e = ends - q
+                v[:, e[(e >= 0) & (e < v.shape[1])]] = 0
+            out[:, : v.shape[1]] += v
+        outs.append(out)
+    return outs[0] if len(outs) == 1 else np.concatenate(outs)
+
+
 class Model:
     def __init__(self, texts: list[str], labels: list[int], langs: list[str], epochs: int = EPOCHS):
         rng = np.random.default_rng(SEED)
@@ -120,7 +187,7 @@ class Model:
                 take = np.concatenate([np.arange(first[i], first[i + 1]) for i in part])
                 cut = np.concatenate([[0], np.cumsum([first[i + 1] - first[i] for i in part])])
                 g = self.gradient(rows[take], cut, y[part], *self._pool(rows[take], cut))
-                self.adam({k: x / len(part) for k, x in g.items()}, state)
+                self.adam(g, state, len(part))
 
     NAMES = ("emb", "bias", "top", "free", *range(len(WIDTHS)))
 
@@ -131,56 +198,81 @@ class Model:
         zero = lambda: {k: np.zeros_like(np.asarray(self.value(k))) for k in self.NAMES}
         return {"m1": zero(), "m2": zero(), "step": 0}
 
-    def gradient(self, own, cut, y, best, at):
-        """Sums over the texts of the loss's gradients, from their words' rows, maxima and the words where these start."""
+    def gradient(self, own, cut, y, best, at, ids=None, g=None):
+        """Sums over the texts of the loss's gradients, from their words' rows (by `ids` if the rows are of distinct words), maxima and the
+        words where these start; added to g if given."""
+        g = {} if g is None else g
+
+        def add(k, x):
+            g[k] = g[k] + x if k in g else x
+
         z = best + self.bias
         act = np.maximum(z, 0)
         err = 1 / (1 + np.exp(-(act @ self.top + self.free))) - y
-        g = {"top": err @ act, "free": err.sum()}
+        add("top", err @ act)
+        add("free", err.sum())
         dz = err[:, None] * self.top * (z > 0) * (at >= 0)
-        g["bias"] = dz.sum(axis=0)
-        g["emb"] = np.zeros_like(self.emb)
-        end = cut[1:]
+        add("bias", dz.sum(axis=0))
+        if "emb" not in g:
+            g["emb"] = np.zeros_like(self.emb)
+        end, last, hit, back = cut[1:], int(cut[-1]) - 1, [], []
         for k, w in enumerate(WIDTHS):
             cols = slice(k * FILTERS, (k + 1) * FILTERS)
-            g[k] = np.zeros_like(self.conv[k])
+            grad = np.zeros_like(self.conv[k])
             for j in range(w):
                 p = at[:, cols] + j
                 ok = (at[:, cols] >= 0) & (p < end[:, None])
                 d = dz[:, cols] * ok
-                if not len(own):
+                if last < 0:
                     continue
-                r = own[np.clip(p, 0, len(own) - 1)] * ok[:, :, None]
-                g[k][j] += np.einsum("bf,bfd->df", d, self.emb[r].sum(axis=2))
-                back = (d[:, :, None] * self.conv[k][j].T[None]).reshape(-1, DIM)
-                for c in range(PARTS):
-                    np.add.at(g["emb"], r[:, :, c].ravel(), back)
+                p = np.clip(p, 0, last)
+                r = own[p if ids is None else ids[p]] * ok[:, :, None]
+                grad[j] += np.einsum("bf,bfd->df", d, self.emb[r].sum(axis=2))
+                hit.append(r.reshape(-1, PARTS).T)
+                back.append((d[:, :, None] * self.conv[k][j].T[None]).reshape(-1, DIM))
+            add(k, grad)
+        if hit:
+            some, place = np.unique(np.concatenate([x.ravel() for x in hit]), return_inverse=True)
+            for c in range(DIM):
+                g["emb"][some, c] += np.bincount(place, np.concatenate([x[:, c] for x in back for _ in range(PARTS)]), len(some))
         return g
 
-    def adam(self, g, state):
-        """A step along the mean gradients g, which are used up."""
-        g["emb"] += g["emb"].dtype.type(DECAY) * self.emb
-        g["emb"][0] = 0
-        g["top"] = g["top"] + 1e-4 * self.top
+    def adam(self, g, state, n=1):
+        """A step along the gradients g of n texts in all; g["emb"] is left as zeros."""
         state["step"] += 1
         step, m1, m2 = state["step"], state["m1"], state["m2"]
-        for k in self.NAMES:
-            x = g[k] + 1e-4 * self.conv[k] if isinstance(k, int) else g[k]
-            m1[k] *= 0.9
-            m1[k] += 0.1 * x
-            m2[k] *= 0.99
-            m2[k] += 0.01 * np.square(x)
-            root = np.sqrt(m2[k] / (1 - 0.99**step))
+
+        def move(x, m1, m2):
+            m1 *= 0.9
+            m1 += 0.1 * x
+            m2 *= 0.99
+            m2 += 0.01 * np.square(x)
+            root = np.sqrt(m2 / (1 - 0.99**step))
             root += 1e-8
-            move = m1[k] / root
-            move *= 0.01 / (1 - 0.9**step)
+            by = m1 / root
+            by *= 0.01 / (1 - 0.9**step)
+            return by
+
+        g["emb"][0] = 0
+        for at in range(0, len(self.emb), ADAM_ROWS):  # parts that a cache holds
+            part = slice(at, at + ADAM_ROWS)
+            emb, x = self.emb[part], g["emb"][part]
+            x /= n
+            x += DECAY * emb
+            emb -= move(x, m1["emb"][part], m2["emb"][part])
+            x.fill(0)
+        for k in self.NAMES[1:]:
+            x = g[k] / n
+            if k == "top" or isinstance(k, int):
+                x = x + 1e-4 * self.value(k)
+            new = self.value(k) - move(x, m1[k], m2[k])
             if isinstance(k, int):
-                self.conv[k] = self.conv[k] - move
+                self.conv[k] = new
             else:
-                setattr(self, k, self.value(k) - move)
+                setattr(self, k, new)
 
     def copied(self) -> Model:
-        """Another model of the same values, embeddings as 32-bit floats; training puts new arrays in place of these."""
+        """Another model of the same values, embeddings as 32-bit floats; training changes these in place and puts new arrays in place of the others."""
         m = Model.__new__(Model)
         m.__dict__.update(self.__dict__, conv=list(self.conv), emb=self.emb.astype(np.float32), free=np.array(float(self.free)))
         return m
@@ -199,39 +291,26 @@ class Model:
             else:
                 setattr(self, k, new if old.ndim else float(new))
 
-    def pool_parts(self, rows, cut, most: int = 1 << 16):
-        """_pool() by one table of products, `most` words at a time."""
-        used = np.zeros(len(self.emb), bool)
-        used[rows] = True
-        number = np.cumsum(used, dtype=np.int32) - 1
-        own, filters = self.emb[used], np.hstack([self.conv[k][j] for k, w in enumerate(WIDTHS) for j in range(w)])
-        table = own.astype(np.float32) @ filters.astype(np.float32)  # of the rows that occur
-        n = len(cut) - 1
-        best, at = np.full((n, len(WIDTHS) * FILTERS), -np.inf), np.full((n, len(WIDTHS) * FILTERS), -1)
-        end = np.repeat(cut[1:], np.diff(cut))
-        for lo in range(0, len(rows), most):
-            hi = min(len(rows), lo + most)
-            near = number[rows[lo : hi + max(WIDTHS) - 1]]
-            got = table[near[:, 0]]
-            for part in range(1, PARTS):
-                got += table[near[:, part]]
-            docs, c = range(int(np.searchsorted(cut, lo, side="right")) - 1, int(np.searchsorted(cut, hi))), 0
-            for k, w in enumerate(WIDTHS):
-                out = got[: hi - lo, c : c + FILTERS].copy()
-                for j in range(1, w):
-                    v = got[j : j + hi - lo, c + j * FILTERS : c + (j + 1) * FILTERS]
-                    out[: len(v)] += v * (np.arange(lo + j, lo + j + len(v)) < end[lo : lo + len(v)])[:, None]
-                c += w * FILTERS
-                cols = slice(k * FILTERS, (k + 1) * FILTERS)
-                for i in docs:
-                    a, b = max(cut[i], lo) - lo, min(cut[i + 1], hi) - lo
-                    if a >= b:
-                        continue
-                    top = out[a:b].argmax(axis=0)
-                    val = out[a + top, np.arange(FILTERS)]
-                    more = val > best[i, cols]
-                    best[i, cols] = np.where(more, val, best[i, cols])
-                    at[i, cols] = np.where(more, lo + a + top, at[i, cols])
+    def pool_parts(self, rows, cut, most: int = 1 << 16, ids=None):
+        """_pool() by products of distinct words, `most` words at a time; with `ids` the rows are of distinct words."""
+        ids = np.arange(len(rows)) if ids is None else ids
+        filters = self._filters()
+        n, every = len(cut) - 1, np.arange(len(WIDTHS) * FILTERS)
+        best, at = np.full((n, len(every)), -np.inf), np.full((n, len(every)), -1)
+        for lo in range(0, len(ids), most):
+            hi = min(len(ids), lo + most)
+            some, near = compact(ids[lo : hi + max(WIDTHS) - 1], len(rows))
+            out = windows(filters @ sums(self.emb, rows[some]).astype(np.float32).T, near, cut[1:] - lo, hi - lo)
+            a, b = int(np.searchsorted(cut, lo, side="right")) - 1, int(np.searchsorted(cut, hi))
+            begin, stop = np.clip(cut[a:b], lo, hi) - lo, np.clip(cut[a + 1 : b + 1], lo, hi) - lo
+            full = np.flatnonzero(begin < stop)
+            if not len(full):
+                continue
+            top = np.array([out[:, x:y].argmax(axis=1) for x, y in zip(begin[full].tolist(), stop[full].tolist(), strict=True)]) + begin[full, None]
+            val, i = out[every, top], a + full
+            more = val > best[i]
+            best[i] = np.where(more, val, best[i])
+            at[i] = np.where(more, lo + top, at[i])
         return np.where(at >= 0, best, 0), at
 
     def _pool(self, rows, cut):
@@ -275,45 +354,40 @@ class Model:
         self.say[0] = 0
 
     def _finish(self):
-        """Products of embeddings and filters, side by side, and the language table."""
-        cols = [self.emb @ self.conv[k][j] for k, w in enumerate(WIDTHS) for j in range(w)]
-        self.table = np.hstack([*cols, self.say]).astype(np.float32)
+        """Embeddings and the language table side by side, and the filters."""
+        self.table = np.hstack([self.emb, self.say]).astype(np.float32)
+        self.filters = self._filters()
 
-    def pools(self, rows: np.ndarray, first: np.ndarray, more: bool = False, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def _filters(self):
+        return np.hstack([self.conv[k][j] for k, w in enumerate(WIDTHS) for j in range(w)]).T.astype(np.float32)
+
+    def pools(self, rows: np.ndarray, first: np.ndarray, more: bool = False, skip: int = 0, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Of each text: maxima of the filters, and language scores. With `more` the (one) text goes on, so that windows over its
-        end don't count; its first `skip` words have had their language scores counted."""
+        end don't count; its first `skip` words have had their language scores counted. With `ids` the rows are of distinct words."""
+        ids = np.arange(len(rows)) if ids is None else ids
         n = len(first) - 1
         best = np.zeros((n, len(WIDTHS) * FILTERS))
         say = np.zeros((n, len(self.langs)))
         some = np.flatnonzero(np.diff(first) > 0)
         if len(some):
-            got = self.table[rows[:, 0]]
-            for part in range(1, PARTS):
-                got += self.table[rows[:, part]]
-            start, c = first[:-1][some], 0
+            own, start = sums(self.table, rows), first[:-1][some]
+            got = self.filters @ own[:, :DIM].T
             for k, w in enumerate(WIDTHS):
-                out = got[:, c : c + FILTERS].copy()
-                for j in range(1, w):
-                    v = got[j:, c + j * FILTERS : c + (j + 1) * FILTERS].copy()
-                    for q in range(1, j + 1):
-                        e = first[1:-1] - q
-                        v[e[(e >= 0) & (e < len(v))]] = 0
-                    out[: len(v)] += v
+                out = windows(got, ids, first[1:-1] if more else first[1:], len(ids), [k])
                 if more:
-                    out = out[: len(out) - w + 1]
-                best[some, k * FILTERS : (k + 1) * FILTERS] = np.maximum.reduceat(out, start, axis=0)
-                c += w * FILTERS
-            if skip < len(got):
-                say[some] = np.add.reduceat(got[skip:, c:], start, axis=0, dtype=np.float64)
+                    out = out[:, : len(ids) - w + 1]
+                best[some, k * FILTERS : (k + 1) * FILTERS] = np.maximum.reduceat(out, start, axis=1).T
+            if skip < len(ids):
+                say[some] = np.add.reduceat(np.ascontiguousarray(own[:, DIM:].T).take(ids[skip:], axis=1), start, axis=1, dtype=np.float64).T
         return best, say
 
     def finish(self, best: np.ndarray, say: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         z = np.maximum(best + self.bias, 0)
         return z @ self.top + self.free, say.argmax(axis=1)
 
-    def logits(self, rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def logits(self, rows: np.ndarray, first: np.ndarray, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Of each text: logit, and number of its language."""
-        return self.finish(*self.pools(rows, first))
+        return self.finish(*self.pools(rows, first, ids=ids))
 
     def long_logits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """logits() of one long text, in parts that share as many words as a window has beside its first."""
@@ -321,18 +395,19 @@ class Model:
         best, say, end = np.full((1, len(WIDTHS) * FILTERS), -np.inf), np.zeros((1, len(self.langs))), 0
         held = None  # a part is pooled when it is known whether the text goes on
 
-        def pool(rows, number, more):
+        def pool(rows, ids, number, more):
             nonlocal say, end
-            b, one = self.pools(rows, np.array([0, len(rows)]), more, max(0, end - number))
-            if len(rows):
+            b, one = self.pools(rows, np.array([0, len(ids)]), more, max(0, end - number), ids)
+            if len(ids):
                 np.maximum(best, b, out=best)
                 say += one
-                end = number + len(rows)
+                end = number + len(ids)
 
         for number, d, s, e in word_pieces(data, ANYCASE, over, SCORE_BYTES):
             if held is not None:
                 pool(*held, True)
-            held = self.row[word_buckets(LOWER[d], s, e)], number
+            word, ids = word_ids(LOWER[d], s, e)
+            held = self.row[word], ids, number
         pool(*held, False)
         return self.finish(np.where(np.isfinite(best), best, 0), say)
 
@@ -363,8 +438,8 @@ class Model:
         """logits() of texts, whatever their length."""
         if len(offs) == 2 and len(data) > SCORE_BYTES:
             return self.long_logits(data)
-        word, first = buckets(data, offs)
-        return self.logits(self.row[word], first)
+        word, ids, first = distinct(data, offs)
+        return self.logits(self.row[word], first, ids)
 
     def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         logit, lang = self.raw(data, offs)
@@ -379,9 +454,24 @@ class Model:
 
 def learned(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """(doc_id, x: lang, text, toxic) of every labelled id to learn from."""
-    marked = labels.where(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = labels.where(learn & F.col("toxic").isin(0, 1))
     src = docs.select("doc_id", F.col("lang") if "lang" in docs.columns else F.lit("").alias("lang"), "text").where(F.col("text").isNotNull())
-    return src.join(marked, "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text", "toxic")).alias("x"))
+    marks = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return _likely(src, marked).join(marks, "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text", "toxic")).alias("x"))
+
+
+def _likely(src: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of src with an id of `marked`, and a few of the others (by a broadcast bitmap of hashes), so that few texts without a label
+    are shuffled. All rows where equal ids may have different hashes."""
+    kind = src.schema["doc_id"].dataType
+    if kind != marked.schema["doc_id"].dataType or not (isinstance(kind, IntegralType) or kind == StringType()):
+        return src
+    bits = 1 << min(MAP_BITS, max(15, (16 * marked.count()).bit_length()))
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit(bits - 1))
+    there = marked.select(F.shiftright(place, 15).alias("__block"), place.bitwiseAND(F.lit(32767)).alias("__at"))
+    there = there.groupBy("__block").agg(F.bitmap_construct_agg("__at").alias("__map"))
+    near = src.withColumn("__block", F.shiftright(place, 15)).withColumn("__at", place.bitwiseAND(F.lit(32767)).cast("int")).join(F.broadcast(there), "__block")
+    return near.where("shiftright(cast(conv(hex(substring(__map, shiftright(__at, 3) + 1, 1)), 16, 10) as int), __at & 7) & 1 = 1").select(src.columns)
 
 
 def _local(rows: DataFrame) -> list[tuple[str, int, str]]:
@@ -394,14 +484,15 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column) -> list[tuple[str,
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Model | None:
-    rows = materialize(learned(docs, labels, F.lit(True) if learn is None else learn))
-    n, size, low, high = rows.agg(F.count("*"), F.sum(F.octet_length("x.text")), F.min("x.toxic"), F.max("x.toxic")).first()
-    if not n or low == high:
-        return None
-    if n <= LOCAL_ROWS and size <= LOCAL_BYTES:
-        texts, y, langs = zip(*_local(rows), strict=True)
-        return Model(list(texts), list(y), list(langs)).shrink()
-    return _fit_parts(rows, n)
+    with swept(docs.sparkSession):
+        rows = materialize(learned(docs, labels, F.lit(True) if learn is None else learn))
+        n, size, low, high = rows.agg(F.count("*"), F.sum(F.octet_length("x.text")), F.min("x.toxic"), F.max("x.toxic")).first()
+        if not n or low == high:
+            return None
+        if n <= LOCAL_ROWS and size <= LOCAL_BYTES:
+            texts, y, langs = zip(*_local(rows), strict=True)
+            return Model(list(texts), list(y), list(langs)).shrink()
+        return _fit_parts(rows, n)
 
 
 def _fit_parts(rows: DataFrame, n: int) -> Model:
@@ -448,15 +539,18 @@ def _fit_parts(rows: DataFrame, n: int) -> Model:
 
 
 def _texts(batch: pa.RecordBatch):
-    """(first row, end, word buckets, first words) of parts of a batch; a long text is hashed in pieces."""
+    """(first row, end, buckets of distinct words, numbers of all words among these, first words) of parts of a batch; a long text is
+    hashed in pieces, each with distinct words of its own."""
     data, offs = utf8(text_column(batch, "text"))
     for i, j in chunks(offs, SCORE_BYTES):
         own, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         if j == i + 1 and len(own) > SCORE_BYTES:
-            word = np.concatenate([word_buckets(LOWER[d], s, e) for _, d, s, e in word_pieces(own, ANYCASE, 0, SCORE_BYTES)])
-            yield i, j, word, np.array([0, len(word)])
+            got = [word_ids(LOWER[d], s, e) for _, d, s, e in word_pieces(own, ANYCASE, 0, SCORE_BYTES)]
+            before = np.cumsum([0, *(len(word) for word, _ in got)])
+            ids = np.concatenate([x + k for (_, x), k in zip(got, before[:-1], strict=True)])
+            yield i, j, np.concatenate([word for word, _ in got]), ids, np.array([0, len(ids)])
         else:
-            yield i, j, *buckets(own, at)
+            yield i, j, *distinct(own, at)
 
 
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -470,9 +564,9 @@ def _count(langs: int):
         sums = np.zeros((2 + langs, 1 << BITS), np.int64)
         for batch in batches:
             y, lang = _column(batch, "toxic"), _column(batch, "lang")
-            for i, j, word, first in _texts(batch):
+            for i, j, word, ids, first in _texts(batch):
                 for k in range(i, j):
-                    all_ = word[first[k - i] : first[k - i + 1]].ravel()
+                    all_ = word[ids[first[k - i] : first[k - i + 1]]].ravel()
                     own, times = np.unique(all_, return_counts=True)
                     sums[0, own] += 1
                     sums[1, own] += y[k]
@@ -488,11 +582,6 @@ def _count(langs: int):
 BLOCK = 1 << 16
 
 
-def _over(g: dict, n: int) -> dict:
-    g["emb"] /= np.float32(n)
-    return {k: x if k == "emb" else x / n for k, x in g.items()}
-
-
 def _epoch(bc, batch: int):
     """One pass over a part's rows from the common start; the copy's numbers in blocks."""
 
@@ -501,23 +590,20 @@ def _epoch(bc, batch: int):
         state, g, held, seen = m.moments(), None, 0, 0
         for b in batches:
             y = _column(b, "toxic").astype(np.float64)
-            for i, j, word, first in _texts(b):
+            for i, j, word, ids, first in _texts(b):
+                rows = m.row[word]
                 for k in range(0, j - i, batch):  # a step never has more than twice the rows
                     e = min(j - i, k + batch)
-                    own, cut = m.row[word[first[k] : first[e]]], first[k : e + 1] - first[k]
-                    part = m.gradient(own, cut, y[i + k : i + e], *m.pool_parts(own, cut))
-                    if g is None:
-                        g = part
-                    else:
-                        for name in g:
-                            g[name] += part[name]
+                    some, near = compact(ids[first[k] : first[e]], len(rows))
+                    own, cut = rows[some], first[k : e + 1] - first[k]
+                    g = m.gradient(own, cut, y[i + k : i + e], *m.pool_parts(own, cut, ids=near), near, g)
                     held += e - k
                     seen += e - k
                     if held >= batch:
-                        m.adam(_over(g, held), state)
-                        g, held = None, 0
+                        m.adam(g, state, held)
+                        g, held = {"emb": g["emb"]}, 0
         if held:
-            m.adam(_over(g, held), state)
+            m.adam(g, state, held)
         if seen:
             vals, part = m.pack().astype(np.float32), TaskContext.get().partitionId()
             for at in range(0, len(vals), BLOCK):
